@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality
+from . import bpe, quality
 from .common import table
 
 
@@ -15,6 +16,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text").withColumn("score", F.round("score", 9))
 
 
-QUERIES = {f.__name__: f for f in (op10_quality_rules,)}
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op4_byte_bpe, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
