@@ -180,13 +180,13 @@ class WordCache:
             return self.end
         if not self.splits:
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end
-        words = text.split()
+        words = text.encode("utf-8", "surrogatepass").split()  # of bytes: at the ASCII spaces alone, each one of \\s
         got = list(map(self.cache.get, words))
         if None in got:
             new = list({w for w, x in zip(words, got, strict=True) if x is None})
             if len(self.cache) + len(new) > self.max_cached:
                 self.cache.clear()
-            batch = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            batch = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
             found = {w: self._pack(e.ids) for w, e in zip(new, batch, strict=True)}
             self.cache.update((w, x) for w, x in found.items() if len(w) <= 64)
             got = [found[w] if x is None else x for w, x in zip(words, got, strict=True)]
