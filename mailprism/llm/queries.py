@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, quality, tokenfile
+from . import bpe, jaccard, quality, tokenfile
 from .common import table
 
 
@@ -21,11 +21,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return tokenfile.read(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op7_token_file, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_byte_bpe, op5_ngram_jaccard_join, op7_token_file, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
