@@ -49,7 +49,7 @@ def merge(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 62) -> list[b
 class Transducer:
     """Encodes byte strings; states and transitions are made when first met."""
 
-    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 250_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 600_000) -> None:
         self.ranks, self.max_transitions = ranks, max_transitions
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
@@ -186,17 +186,20 @@ class Utf8Stream:
 class Codec:
     """Encodes and decodes whole texts; ids are little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_cached: int = 200_000, run: int = 1 << 16) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_cached: int = 400_000, run: int = 1 << 16) -> None:
         self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
         self.max_cached, self.run = max_cached, run
         self.of = {t: np.uint32(i).astype("<u4").tobytes() for t, i in ranks.items()}
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        found = b"".join([self.of[t] for t in self.transducer.encode(piece.encode("utf-8", "surrogatepass"))])
+        found = self.older.get(piece)
+        if found is None:
+            found = b"".join([self.of[t] for t in self.transducer.encode(piece.encode("utf-8", "surrogatepass"))])
         if len(self.cache) >= self.max_cached:
-            self.cache.clear()
+            self.cache, self.older = {}, self.cache
         if len(piece) <= 64:
             self.cache[piece] = found
         return found
