@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, quality, tokenfile
+from . import bpe, jaccard, mixing, quality, tokenfile
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text").withColumn("score", F.round("score", 9))
 
 
+def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 6))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -30,6 +34,6 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op5_ngram_jaccard_join, op7_token_file, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_entropy_mix, op4_byte_bpe, op5_ngram_jaccard_join, op7_token_file, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
