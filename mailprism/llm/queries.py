@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, mixing, quality, tokenfile
+from . import bpe, jaccard, mixing, quality, sharding, tokenfile
 from .common import table
 
 
@@ -29,11 +29,15 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op6_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"))
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return tokenfile.read(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_mix, op4_byte_bpe, op5_ngram_jaccard_join, op7_token_file, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_entropy_mix, op4_byte_bpe, op5_ngram_jaccard_join, op6_balanced_shards, op7_token_file, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
