@@ -5,10 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, mixing, quality, sharding, tokenfile
+from . import bpe, jaccard, language, mixing, quality, sharding, tokenfile
 from .common import table
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(language.held_out(F.col("doc_id")), F.lit(False))
+    model = language.fit(docs.filter(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
@@ -38,6 +47,6 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_mix, op4_byte_bpe, op5_ngram_jaccard_join, op6_balanced_shards, op7_token_file, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_entropy_mix, op4_byte_bpe, op5_ngram_jaccard_join, op6_balanced_shards, op7_token_file, op8_language_id, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
