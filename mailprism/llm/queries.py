@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, language, mixing, quality, sharding, tokenfile
+from . import bpe, jaccard, language, mixing, quality, sharding, tokenfile, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
@@ -47,6 +51,6 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_mix, op4_byte_bpe, op5_ngram_jaccard_join, op6_balanced_shards, op7_token_file, op8_language_id, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_entropy_mix, op4_byte_bpe, op5_ngram_jaccard_join, op6_balanced_shards, op7_token_file, op8_language_id, op9_warc, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
