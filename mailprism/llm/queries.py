@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, language, mixing, quality, sharding, tokenfile, urls, warc
+from . import ann, bpe, jaccard, language, mixing, quality, sharding, tokenfile, urls, warc
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -57,6 +61,6 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_url_filter, op4_byte_bpe, op5_ngram_jaccard_join, op6_balanced_shards, op7_token_file, op8_language_id, op9_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_url_filter, op3_posting_lists, op4_byte_bpe, op5_ngram_jaccard_join, op6_balanced_shards, op7_token_file, op8_language_id, op9_warc, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
