@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailprism.llm import quality
-from mailprism.llm.common import settled, table
+from mailprism.llm import bpe, jaccard, language, mixing, quality
+from mailprism.llm.common import by_ids, settled, table
+
+#: Language ID rejects a text without a letter, and one whose language is less certain than this.
+LEAST_LANGUAGE_SCORE = 0.4
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +17,45 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality_rules", quality_rules)]
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are in no language; fitted to the stage's own rows, without the held-out fold."""
+    held_out = F.coalesce(language.held_out(F.col("doc_id")), F.lit(False))
+    model = language.fit(docs.filter(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    judged = language.identify(docs.select(*docs.columns), model)
+    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays, once."""
+    joined = jaccard.join(docs)
+    gone = settled(joined.filter("doc_id <> component_id").select("doc_id"), "pipeline-gone")
+    kept = by_ids(docs, gone, "doc_id", "left_anti")
+    again = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    if again.isEmpty():
+        return kept
+    again = settled(again, "pipeline-repeated")
+    repeated = by_ids(kept, again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *docs.columns)).alias("r"))
+    return by_ids(kept, again, "doc_id", "left_anti").unionByName(repeated.select(*[F.col(f"r.{c}") for c in docs.columns]))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the decoded bytes of each row."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("source_mix", source_mix),
+    ("byte_bpe", byte_bpe),
+]
 
 #: The learned stages have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None
