@@ -21,6 +21,7 @@ doc_id are returned with a null component and are compared with nothing. Extra c
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,16 +30,18 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import by_ids, settled
+from .common import by_ids, drop_settled, settled
 
 
 @dataclass(frozen=True)
 class JaccardJoin:
     words: int = 5  # of a shingle
     percent: int = 75  # least similarity
-    sketch_bits: int = 20  # counters of the shingle sketch: 2 ** bits, 4 bytes each
+    sketch_slots: int = 32  # counters a document, of two bytes, in the sketch of the shingles
+    most_bits: int = 25  # the sketch has 2 ** 25 counters at most
     most_matches: int = 12  # largest k
     verify_cost: float = 40.0  # of a candidate, in postings read
+    hot: int = 2_000  # estimated documents from which on a shingle's list is dealt to several tasks
 
     def overlap(self, n, m):
         """Least intersection of linked sets of n and m elements: ceil(p (n + m) / (100 + p))."""
@@ -79,60 +82,69 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def _first_pass(docs: DataFrame, p: JaccardJoin) -> DataFrame:
+def _first_pass(docs: DataFrame, bits: int, p: JaccardJoin) -> DataFrame:
     """A row for each document (doc_id, n, fp) and, from each task, the counters of its shingles in 64 blobs."""
-    size = 1 << p.sketch_bits
+    size = 1 << bits
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(size, np.uint32)
+        counts = np.zeros(size, np.uint16)
+
+        def add(held: list[np.ndarray]) -> None:
+            slots, n = np.unique(np.concatenate(held), return_counts=True)
+            counts[slots] = np.minimum(counts[slots] + n, 65_535)  # a counter stays at its top
+
         for batch in batches:
             n, fp, held, waiting = [], [], [], 0
             for text in batch["text"]:
                 s = shingles(text, p.words)
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                held.append(s >> np.uint64(64 - p.sketch_bits))
+                held.append((s >> np.uint64(64 - bits)).astype(np.uint32))
                 waiting += len(s)
-                if waiting > 1 << 20:
-                    counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=size).astype(np.uint32)
+                if waiting > 1 << 21:
+                    add(held)
                     held, waiting = [], 0
             if waiting:
-                counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=size).astype(np.uint32)
+                add(held)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "fp": fp, "part": None, "counts": None})
         for i, part in enumerate(np.split(counts, 64)):
             if part.any():
                 yield pd.DataFrame(
-                    {"doc_id": [None], "n": [None], "fp": [None], "part": [i], "counts": [part.tobytes()]}
+                    {"doc_id": [None], "n": [None], "fp": [None], "part": [i], "counts": [zlib.compress(part.tobytes(), 1)]}
                 )
 
     return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, fp binary, part int, counts binary")
 
 
-def _sketch(first: DataFrame, p: JaccardJoin) -> np.ndarray:
-    """The counters of all documents, as levels of a byte. Its size is a parameter, so it may come to the driver."""
+def _sketch(first: DataFrame, bits: int) -> np.ndarray:
+    """The counters of all documents, each a level: 4 log2 of what it holds over the usual. Bounded by most_bits."""
 
     def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for batch in parts:
             for x in batch["counts"]:
-                got = np.frombuffer(x, np.uint32).astype(np.uint64)
+                got = np.frombuffer(zlib.decompress(x), np.uint16).astype(np.uint32)
                 total = got if total is None else total + got
-        yield pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
+        usual = float(np.median(total))
+        levels = np.round(4 * np.log2(1 + np.maximum(0, total - 3 * usual - 3))).astype(np.uint8)
+        yield pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(levels.tobytes(), 1)]})
 
     blobs = first.filter("part is not null").select("part", "counts")
     summed = blobs.groupBy("part").applyInPandas(add, "part int, counts binary").collect()
-    counts = np.zeros(1 << p.sketch_bits, np.uint64)
-    each = len(counts) // 64
+    levels = np.zeros((64, (1 << bits) // 64), np.uint8)
     for row in summed:
-        counts[row["part"] * each : (row["part"] + 1) * each] = np.frombuffer(row["counts"], np.uint64)
-    return counts
+        levels[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
+    return levels.ravel()
 
 
-def _postings(docs: DataFrame, counts: np.ndarray, p: JaccardJoin) -> DataFrame:
-    """(token, id, n, at, k): the prefix of each document's set, at its chosen k."""
-    background = float(np.median(counts)) if len(counts) else 0.0
-    levels = np.round(4 * np.log2(1 + np.maximum(0, counts - 2 * background))).astype(np.uint8)
+def _postings(docs: DataFrame, levels: np.ndarray, p: JaccardJoin) -> DataFrame:
+    """(token, id, nak, hot): the prefix of each document's set at its chosen k; nak packs at, n and k into a long.
+
+    hot: the sketch has counted the token's slot often, so that its list may be too long for one task.
+    """
+    shift = 65 - len(levels).bit_length()
     shared = docs.sparkSession.sparkContext.broadcast(levels)
+    hot = round(4 * np.log2(p.hot))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         levels = shared.value
@@ -144,7 +156,7 @@ def _postings(docs: DataFrame, counts: np.ndarray, p: JaccardJoin) -> DataFrame:
                 n = len(s)
                 if not n:
                     continue
-                level = levels[s >> np.uint64(64 - p.sketch_bits)]
+                level = levels[s >> np.uint64(shift)]
                 order = np.argsort(level, kind="stable")  # hashes are in order already
                 least = -(-p.percent * n // 100)
                 most = min(p.most_matches, least)
@@ -152,18 +164,52 @@ def _postings(docs: DataFrame, counts: np.ndarray, p: JaccardJoin) -> DataFrame:
                 cost = np.cumsum(np.exp2(level[order[: length[-1]]] / 4.0))[length - 1] + length
                 chosen = int(np.argmin(cost * (1 + p.verify_cost / k[:most] ** 2)))
                 prefix = order[: length[chosen]]
-                out.append((s[prefix].view(np.int64), doc_id, n, chosen + 1))
+                out.append((s[prefix].view(np.int64), doc_id, n, chosen + 1, level[prefix] >= hot))
             if out:
                 sizes = [len(x[0]) for x in out]
                 yield pd.DataFrame({
                     "token": np.concatenate([x[0] for x in out]),
                     "id": np.repeat([x[1] for x in out], sizes),
-                    "n": np.repeat([x[2] for x in out], sizes),
-                    "at": np.concatenate([np.arange(x) for x in sizes]),
-                    "k": np.repeat([x[3] for x in out], sizes),
+                    "nak": np.repeat([x[2] << 8 | x[3] for x in out], sizes)
+                    | np.concatenate([np.arange(x) for x in sizes]) << 36,
+                    "hot": np.concatenate([x[4] for x in out]),
                 })
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "token long, id long, n int, at int, k int")
+    return docs.select("doc_id", "text").mapInPandas(rows, "token long, id long, nak long, hot boolean")
+
+
+def _unpacked(nak: str) -> dict[str, Column]:
+    c = F.col(nak)
+    return {
+        "at": F.shiftright(c, 36).cast("int"),
+        "n": F.shiftright(c, 8).bitwiseAND(F.lit((1 << 28) - 1)).cast("int"),
+        "k": c.bitwiseAND(F.lit(255)).cast("int"),
+    }
+
+
+def _shared(postings: DataFrame, p: JaccardJoin) -> DataFrame:
+    """Postings that may have a partner, with the hub of their list: token, id, at, n, k, h (a struct of the last four).
+
+    Lists of common tokens are summed before they are shuffled and joined with room for a split of long ones; all others
+    are shuffled once, for both the sums and the join.
+    """
+
+    def with_hub(rows: DataFrame) -> DataFrame:
+        n = F.shiftright("nak", 8).bitwiseAND(F.lit((1 << 28) - 1))
+        lists = rows.groupBy("token").agg(
+            F.count(F.lit(1)).alias("c"), F.min(n).alias("least"), F.min(F.struct("nak", "id")).alias("hub")
+        )
+        met = rows.join(lists.filter("c > 1"), "token").withColumns(_unpacked("nak"))
+        # a posting whose position leaves too little even for the smallest set of its list has no partner there
+        most = F.floor((F.col("n") - F.col("at") + F.col("k") - 1) * (100 + p.percent) / p.percent) - F.col("n")
+        met = met.filter(most >= F.col("least")).withColumn("hak", F.col("hub.nak"))
+        hub = F.struct(F.col("hub.id").alias("id"), *[v.alias(c) for c, v in _unpacked("hak").items()])
+        return met.select("token", "id", "at", "n", "k", hub.alias("h"))
+
+    narrow = ["token", "id", "nak"]
+    rare = postings.filter("not hot").select(narrow)
+    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return with_hub(rare.repartition(n, "token")).unionByName(with_hub(postings.filter("hot").select(narrow)))
 
 
 def _fits(p: JaccardJoin, n: Column, at: Column, k: Column, m: Column, at2: Column, k2: Column) -> Column:
@@ -173,6 +219,22 @@ def _fits(p: JaccardJoin, n: Column, at: Column, k: Column, m: Column, at2: Colu
     return (at < n - t + least) & (at2 < m - t + least)
 
 
+def _multi_match(pairs: DataFrame, postings: DataFrame, p: JaccardJoin) -> DataFrame:
+    """The pairs (a, b) that share min(k, k') shingles in their prefixes for that number."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    prefix = F.array_sort(F.collect_list(F.struct("at", "token"))).alias("prefix")  # a part of one document's set
+    of = postings.join(ids, "id", "left_semi").groupBy("id", "n", "k").agg(prefix)
+    of = settled(of, "jaccard-prefixes")
+    named = lambda c: of.select(*[F.col(x).alias(x + c) for x in ("id", "n", "k", "prefix")])
+    both = pairs.join(named("a"), F.col("a") == F.col("ida")).join(named("b"), F.col("b") == F.col("idb"))
+    least = F.least("ka", "kb")
+    t = F.floor((p.percent * (F.col("na") + F.col("nb")) + 99 + p.percent) / (100 + p.percent))
+    within = lambda c: F.transform(
+        F.filter("prefix" + c, lambda x: x["at"] < F.col("n" + c) - t + least), lambda x: x["token"]
+    )
+    return both.filter(F.size(F.array_intersect(within("a"), within("b"))) >= least).select("a", "b")
+
+
 def _sets(docs: DataFrame, ids: DataFrame, p: JaccardJoin) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -250,31 +312,26 @@ def join(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id of every row of docs."""
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     whole = _whole(docs)
-    first = settled(_first_pass(whole, p), "jaccard-docs")
+    bits = min(p.most_bits, max(16, (whole.count() * p.sketch_slots).bit_length()))
+    first = settled(_first_pass(whole, bits, p), "jaccard-docs")
     named = first.filter("part is null").select("doc_id", "n", "fp")
     classes = settled(named.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("c")), "jaccard-classes")
     grouped = named.filter("n > 0").join(classes.filter("c > 1"), "fp")
     copies = settled(grouped.filter("doc_id <> class_id").select("doc_id", "class_id"), "jaccard-copies")
     single = by_ids(whole, copies.select("doc_id"), "doc_id", "left_anti")
-    postings = settled(_postings(single, _sketch(first, p), p), "jaccard-postings")
+    postings = settled(_postings(single, _sketch(first, bits), p), "jaccard-postings")
 
-    hub = F.min(F.struct("at", "id", "n", "k")).alias("hub")
-    lists = settled(
-        postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), hub).filter("c > 1"),
-        "jaccard-lists",
-    )
-    h = F.col("hub")
-    # a posting whose position leaves too little even for the smallest set of its list has no partner there
-    most = F.floor((F.col("n") - F.col("at") + F.col("k") - 1) * (100 + p.percent) / p.percent) - F.col("n")
-    shared = settled(postings.join(lists, "token").filter(most >= F.col("least")).drop("c", "least"), "jaccard-shared")
+    shared = settled(_shared(postings, p), "jaccard-shared")
+    drop_settled(postings)
+    h = F.col("h")
     star = shared.filter(F.col("id") != h["id"]).filter(
         _fits(p, F.col("n"), F.col("at"), F.col("k"), h["n"], h["at"], h["k"])
     )
-    star = star.groupBy("id", h["id"].alias("h")).agg(
+    star = star.groupBy("id", h["id"].alias("hid")).agg(
         F.count(F.lit(1)).alias("matches"), F.min(F.least(F.col("k"), h["k"])).alias("least")
     ).filter("matches >= least")
-    best = star.groupBy("id").agg(F.max(F.struct("matches", (-F.col("h")).alias("h"))).alias("m"))
-    best = settled(best.select(F.col("id").alias("a"), (-F.col("m.h")).alias("b")), "jaccard-stars")
+    best = star.groupBy("id").agg(F.max(F.struct("matches", (-F.col("hid")).alias("hid"))).alias("m"))
+    best = settled(best.select(F.col("id").alias("a"), (-F.col("m.hid")).alias("b")), "jaccard-stars")
     links = _verified(best, single, p)
     near = components(links)
 
@@ -283,13 +340,13 @@ def join(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
     mixed = rooted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
     open_lists = settled(rooted.join(mixed.select("token"), "token", "left_semi"), "jaccard-open")
     x, y = open_lists.alias("x"), open_lists.alias("y")
+    one = F.lit(1)  # sets that share k shingles in their prefixes for k share one in those for one
     pair = (
         (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
-        & _fits(p, *[F.col(f"{s}.{c}") for s in "xy" for c in ("n", "at", "k")])
+        & _fits(p, F.col("x.n"), F.col("x.at"), one, F.col("y.n"), F.col("y.at"), one)
     )
-    rest = x.join(y, pair).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
-        F.count(F.lit(1)).alias("matches"), F.min(F.least("x.k", "y.k")).alias("least")
-    ).filter("matches >= least").select("a", "b")
+    met = x.join(y, pair).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    rest = _multi_match(settled(met, "jaccard-met"), rooted, p)
     rest = settled(rest.join(best, ["a", "b"], "left_anti"), "jaccard-rest")
     more = _verified(rest, single, p)
     roots = near
@@ -307,7 +364,7 @@ def join(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("root", "class_id").alias("component_id")
     )
     if not every.filter("doc_id is null").isEmpty():
-        nameless = _first_pass(every.filter("doc_id is null"), p).filter("n is not null").select(
+        nameless = _first_pass(every.filter("doc_id is null"), 16, p).filter("n is not null").select(
             F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"),
             F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("component_id"),
         )
