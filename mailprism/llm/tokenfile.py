@@ -18,15 +18,20 @@ repeat a doc_id follow each other, ordered by text. Extra columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .columns import few_mb
 from .common import fresh_path, settled
 
 MAGIC = b"MPTOK1\0\0"
@@ -156,42 +161,90 @@ class TokenFile:
 class WordCache:
     """Ids of whole texts by the tokenizers library, which is asked once for each piece between white space.
 
-    The vocabulary's normaliser turns runs of white space into one space and its pre-tokeniser drops it, so that no
-    token spans it and the pieces' ids in a row are those of the text. Only a file with such rules is taken; texts of
-    any other are encoded whole.
+    The vocabulary's normaliser turns runs of white space into one space and lowers case, and its pre-tokeniser drops
+    white space and parts letters from marks, so that no token spans these bounds and the pieces' ids in a row are those
+    of the text. Only a file with such rules is taken in pieces; texts of any other are encoded whole.
     """
 
-    def __init__(self, json: str, end_id: int, max_cached: int = 250_000) -> None:
+    #: Marks that may be parted from a word that they end; an apostrophe is not one, for it can begin a token with letters.
+    MARKS = ".,;:!?#$%&*|"
+
+    def __init__(self, json: str, end_id: int, max_cached: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.encode_special_tokens = True
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
+        self.end_id, self.width = end_id, 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
+        self.code, self.dtype = "H" if self.width == 2 else "I", np.dtype(f"<u{self.width}")
         self.end = self._pack([end_id])
-        self.max_cached, self.cache = max_cached, {}
-        self.splits = '"Replace","pattern":{"Regex":"\\\\s+"},"content":" "' in json.replace(": ", ":").replace(", ", ",") \
-            and '"behavior":"Removed","invert":true' in json.replace(": ", ":").replace(", ", ",")
+        self.max_cached, self.parts, self.older = max_cached, {}, {}
+        plain = json.replace(": ", ":").replace(", ", ",")
+        self.splits = all(
+            rule in plain
+            for rule in (
+                '{"type":"NFC"},{"type":"Replace","pattern":{"Regex":"\\\\s+"},"content":" "},{"type":"Lowercase"}',
+                r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+                '"behavior":"Removed","invert":true',
+            )
+        )
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return self.end
+        return array(self.code, ids).tobytes()
+
+    def _parted(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """(core, marks) of distinct words: the marks that end a word, if a letter or digit stands before them."""
+        cut = pc.utf8_rtrim(words, self.MARKS)
+        parts = pc.and_(pc.match_substring_regex(cut, "[A-Za-z0-9]$"), pc.less(pc.binary_length(cut), pc.binary_length(words)))
+        marks = pc.replace_substring_regex(words.filter(parts), f"^.*[^{re.escape(self.MARKS)}]", "")
+        core = pc.if_else(parts, cut, words)
+        core = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core)
+        return core, pc.replace_with_mask(pa.array([""] * len(words), words.type), parts, marks)
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """The packed ids of distinct parts, from two generations of cached ones or else the library."""
+        got = list(map(self.parts.get, parts))
+        older, new = self.older, []
+        for i in [i for i, x in enumerate(got) if x is None]:
+            got[i] = older.get(parts[i])
+            if got[i] is None:
+                new.append(i)
+        batch = self.tokenizer.encode_batch_fast([parts[i] for i in new], add_special_tokens=False)
+        for i, e in zip(new, batch, strict=True):
+            got[i] = array(self.code, e.ids).tobytes()
+        self.parts.update(zip(parts, got, strict=True))
+        if len(self.parts) > self.max_cached:
+            self.parts, self.older = {}, {k: v for k, v in self.parts.items() if len(k) <= 64}
+        return got
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each text with the end id last, back to back, and the bounds of the texts in them.
+
+        Words are told apart in columns; Python sees each distinct word of the array once. Pass a few MB at most.
+        """
+        texts = pc.fill_null(texts, "")
         if not self.splits:
-            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end
-        words = text.encode("utf-8", "surrogatepass").split()  # of bytes: at the ASCII spaces alone, each one of \\s
-        got = list(map(self.cache.get, words))
-        if None in got:
-            new = list({w for w, x in zip(words, got, strict=True) if x is None})
-            if len(self.cache) + len(new) > self.max_cached:
-                self.cache.clear()
-            batch = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            found = {w: self._pack(e.ids) for w, e in zip(new, batch, strict=True)}
-            self.cache.update((w, x) for w, x in found.items() if len(w) <= 64)
-            got = [found[w] if x is None else x for w, x in zip(words, got, strict=True)]
-        got.append(self.end)
-        return b"".join(got)
+            runs = [e.ids + [self.end_id] for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            flat = np.array([i for run in runs for i in run], dtype=self.dtype)
+            return flat, np.concatenate([[0], np.cumsum([len(run) for run in runs])]).astype(np.int64)
+        lists = pc.ascii_split_whitespace(texts)  # at the ASCII spaces alone, each one of \\s
+        bounds = np.asarray(lists.offsets, dtype=np.int64)
+        coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds = bounds - bounds[0]
+        core, marks = self._parted(coded.dictionary)
+        parts = pa.concat_arrays([core, marks]).dictionary_encode()
+        packed = self._ids(parts.dictionary.to_pylist())
+        table = np.frombuffer(b"".join(packed) + self.end, dtype=self.dtype)
+        lengths = np.append(np.fromiter(map(len, packed), np.int64, len(packed)) // self.width, 1)
+        firsts = np.cumsum(lengths) - lengths
+        # each word is two parts, its core and its marks; the end id is one more part after each text
+        of = np.asarray(parts.indices, dtype=np.int64).reshape(2, -1).T
+        runs = of[np.asarray(coded.indices)].ravel()
+        runs = np.insert(runs, 2 * bounds[1:], len(packed))
+        each = lengths[runs]
+        ends = np.cumsum(each)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(firsts[runs] - (ends - each), each)
+        stops = ends[2 * bounds[1:] + np.arange(len(texts))]
+        return table[at], np.concatenate([[0], stops])
 
 
 _CACHE: dict[tuple, WordCache] = {}
@@ -213,7 +266,7 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int, shards: int | None
     key = (tokenizer_file, end_id)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def write_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -225,30 +278,29 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int, shards: int | None
             cache = _CACHE[key] = WordCache(json.value, end_id)
         part, piece, ids, doc_ids, held = context.partitionId(), 0, [], [], 0
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             uri = f"{folder}/{part:06d}-{piece:04d}.tok"
             total = write_shard(uri, f"{context.taskAttemptId()}", ids, doc_ids, cache.width)
-            return pd.DataFrame([[part, uri, len(ids), total]], columns=["shard", "path", "n_docs", "n_ids"])
+            return pa.RecordBatch.from_pydict(
+                {"shard": pa.array([part], pa.int32()), "path": [uri], "n_docs": [len(ids)], "n_ids": [total]}
+            )
 
         for batch in batches:
-            for doc_id, is_null, text in zip(batch["doc_id"], batch["no_id"], batch["text"], strict=True):
-                ids.append(cache.encode(text if isinstance(text, str) else None))
-                doc_ids.append(None if is_null else int(doc_id))
-                held += len(ids[-1])
-                if held > 64 << 20:  # a shard is held in memory until it is written
+            for some in few_mb(batch):
+                flat, bounds = cache.encode(some.column("text"))
+                for doc_id, first, last in zip(some.column("doc_id").to_pylist(), bounds, bounds[1:]):
+                    ids.append(flat[first:last].tobytes())
+                    doc_ids.append(doc_id)
+                    held += len(ids[-1])
+                if held > 48 << 20:  # a shard is held in memory until it is written
                     yield close()
                     piece, ids, doc_ids, held = piece + 1, [], [], 0
         if ids:
             yield close()
 
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
-        F.col("doc_id").isNull().alias("no_id"),
-        "text",
-    )
-    order = [F.col("no_id").desc(), F.col("doc_id"), F.col("text")]
-    parts = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
-    written = settled(parts.mapInPandas(write_part, MANIFEST), "token-manifest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")  # nulls first
+    written = settled(parts.mapInArrow(write_part, MANIFEST), "token-manifest")
     # one row for each shard of up to 64 MB of ids: the only list that is brought together
     manifest = sorted(written.collect(), key=lambda r: r["path"])
     starts = np.concatenate([[0], np.cumsum([r["n_ids"] for r in manifest])]) if manifest else [0]
