@@ -212,10 +212,21 @@ def in_nets(number: Column, nets: list[str]) -> Column:
     return hit
 
 
+# The same networks as patterns on the address, one test instead of a range each.
+PRIVATE_PATTERN = (
+    r"^(0|10|127|2[45][0-9])\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\."
+    r"|^192\.168\.|^192\.0\.0\.|^198\.1[89]\."
+)
+DOCUMENTATION_PATTERN = r"|^192\.0\.2\.|^198\.51\.100\.|^203\.0\.113\."
+
+
 def is_private(ip: Column, variant: str = "stdlib") -> Column:
-    """Three definitions: `relay` counts documentation networks as public, `stdlib` and `intel` do not; `intel` adds multicast."""
-    nets = PRIVATE_NETS + (DOCUMENTATION_NETS if variant != "relay" else []) + (["224.0.0.0/4"] if variant == "intel" else [])
-    return in_nets(ipv4_number(ip), nets)
+    """Three definitions: `relay` counts documentation networks as public, `stdlib` and `intel` do not; `intel` adds multicast.
+
+    For addresses without leading zeros; normalise others first. Null for what is no address.
+    """
+    pattern = PRIVATE_PATTERN + (DOCUMENTATION_PATTERN if variant != "relay" else "") + (r"|^2[23][0-9]\." if variant == "intel" else "")
+    return F.when(is_ipv4(ip), ip.rlike(pattern))
 
 
 def cidr_join(rows: DataFrame, number: str, nets: DataFrame, most: int = 200_000) -> DataFrame:

@@ -121,7 +121,7 @@ def ip_extract_classify(t):
     ips = t("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(net.IPV4), F.lit(0))).alias("ip"))
     n = net.ipv4_number(F.col("ip"))
     return ips.select("doc_id", "ip", n.isNotNull().alias("valid"), n.alias("number"), net.normalized_ipv4(F.col("ip")).alias("normalized"),
-                      F.coalesce(net.is_private(F.col("ip")), F.lit(False)).alias("is_private"))
+                      F.coalesce(net.is_private(net.normalized_ipv4(F.col("ip"))), F.lit(False)).alias("is_private"))
 
 
 @query("cidr_join", "JN-09 SRC-15", """
