@@ -39,8 +39,8 @@ POINTS = """c as (select doc_id, tvd, (case when p_phish >= 0.7 then 20 + 15 * (
     (case when dmarc = 'FAIL' then 12 else 0 end + case when spf in ('FAIL', 'SOFTFAIL') then 8 else 0 end + case when dkim in ('FAIL', 'PERMERROR') then 8 else 0 end + case when spf = 'PASS' and dkim = 'PASS' and dmarc = 'PASS' and p_phish < 0.5 then -5 else 0 end)::double as au,
     (case when n_chars % 11 = 0 then 8 else 0 end + case when n_chars % 7 = 0 then 4 else 0 end + case when n_chars % 5 = 0 then 5 else 0 end + case when n_chars % 13 > 5 then 3 else 0 end)::double as u,
     (case when n_chars % 17 = 0 then 5 else 0 end + case when n_chars % 12 > 8 then 4 else 0 end + case when n_chars % 9 = 0 then 3 else 0 end)::double as ir,
-    (case when n_chars % 19 = 0 then 10 else 0 end + case when n_chars % 23 = 0 then 10 else 0 end + case when n_chars % 4 = 0 then 4 else 0 end)::double as at from t),
-    s as (select doc_id, least(m, 35.0) as model, least(au, 20.0) as authentication, least(u, 15.0) as url, least(ir, 10.0) as relay, least(at, 15.0) as attachment from c),
+    (case when n_chars % 19 = 0 then 10 else 0 end + case when n_chars % 23 = 0 then 10 else 0 end + case when n_chars % 4 = 0 then 4 else 0 end)::double as attach from t),
+    s as (select doc_id, least(m, 35.0) as model, least(au, 20.0) as authentication, least(u, 15.0) as url, least(ir, 10.0) as relay, least(attach, 15.0) as attachment from c),
     k as (select *, least(100.0, greatest(0.0, model + authentication + url + relay + attachment)) as score from s)"""
 
 
