@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+
+import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -29,3 +32,23 @@ def few_mb(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
         if held > most or i == len(sizes) - 1:
             yield batch.slice(first, i + 1 - first)
             first, held = i + 1, 0
+
+
+_HELD: dict[Hashable, object] = {}
+
+
+def worker_cache(key: Hashable, make: Callable[[], object]):
+    """What `make` makes, kept in this worker until another key is asked for: one operator's cache at a time.
+
+    Workers live on between operators; what the last one kept is given back to the system first.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        _HELD[key] = make()
+    return _HELD[key]

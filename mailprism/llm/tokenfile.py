@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .columns import few_mb
+from .columns import few_mb, worker_cache
 from .common import fresh_path, settled
 
 MAGIC = b"MPTOK1\0\0"
@@ -158,6 +158,11 @@ class TokenFile:
         return self.ids(self.bounds[i], self.bounds[i + 1])
 
 
+#: Words of small Latin-1 letters: neither normaliser nor pre-tokeniser changes or cuts them, so that the library's
+#: merges can be asked directly.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
 class WordCache:
     """Ids of whole texts by the tokenizers library, which is asked once for each piece between white space.
 
@@ -169,7 +174,7 @@ class WordCache:
     #: Marks that may be parted from a word that they end; an apostrophe is not one, for it can begin a token with letters.
     MARKS = ".,;:!?#$%&*|"
 
-    def __init__(self, json: str, end_id: int, max_cached: int = 300_000) -> None:
+    def __init__(self, json: str, end_id: int, max_cached: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
@@ -178,13 +183,18 @@ class WordCache:
         self.code, self.dtype = "H" if self.width == 2 else "I", np.dtype(f"<u{self.width}")
         self.end = self._pack([end_id])
         self.max_cached, self.parts, self.older = max_cached, {}, {}
+        # the characters that stand for the bytes of a letter: printable Latin-1 ones for themselves, the others above
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        name = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.byte_names = {c: "".join(name[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
         plain = json.replace(": ", ":").replace(", ", ",")
         self.splits = all(
             rule in plain
             for rule in (
                 '{"type":"NFC"},{"type":"Replace","pattern":{"Regex":"\\\\s+"},"content":" "},{"type":"Lowercase"}',
                 r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
-                '"behavior":"Removed","invert":true',
+                '"behavior":"Removed","invert":true},{"type":"ByteLevel","add_prefix_space":false',
             )
         )
 
@@ -208,8 +218,14 @@ class WordCache:
             got[i] = older.get(parts[i])
             if got[i] is None:
                 new.append(i)
-        batch = self.tokenizer.encode_batch_fast([parts[i] for i in new], add_special_tokens=False)
-        for i, e in zip(new, batch, strict=True):
+        rest, merges, plain, names = [], self.tokenizer.model.tokenize, PLAIN.fullmatch, self.byte_names
+        for i in new:
+            if plain(parts[i]):
+                got[i] = array(self.code, [t.id for t in merges(parts[i].translate(names))]).tobytes()
+            else:
+                rest.append(i)
+        batch = self.tokenizer.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, batch, strict=True):
             got[i] = array(self.code, e.ids).tobytes()
         self.parts.update(zip(parts, got, strict=True))
         if len(self.parts) > self.max_cached:
@@ -232,23 +248,23 @@ class WordCache:
         bounds = bounds - bounds[0]
         core, marks = self._parted(coded.dictionary)
         parts = pa.concat_arrays([core, marks]).dictionary_encode()
-        packed = self._ids(parts.dictionary.to_pylist())
+        ids = self._ids(parts.dictionary.to_pylist())
+        of = np.asarray(parts.indices).reshape(2, -1)
+        packed = list(map(ids.__getitem__, of[0].tolist()))
+        for i in np.flatnonzero(np.asarray(pc.binary_length(marks))).tolist():
+            packed[i] += ids[of[1, i]]
         table = np.frombuffer(b"".join(packed) + self.end, dtype=self.dtype)
-        lengths = np.append(np.fromiter(map(len, packed), np.int64, len(packed)) // self.width, 1)
-        firsts = np.cumsum(lengths) - lengths
-        # each word is two parts, its core and its marks; the end id is one more part after each text
-        of = np.asarray(parts.indices, dtype=np.int64).reshape(2, -1).T
-        runs = of[np.asarray(coded.indices)].ravel()
-        runs = np.insert(runs, 2 * bounds[1:], len(packed))
-        each = lengths[runs]
-        ends = np.cumsum(each)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(firsts[runs] - (ends - each), each)
-        stops = ends[2 * bounds[1:] + np.arange(len(texts))]
+        lengths = np.append(np.fromiter(map(len, packed), np.int32, len(packed)) // self.width, np.int32(1))
+        firsts = np.cumsum(lengths, dtype=np.int32) - lengths
+        # one more word, the end id, after the words of each text
+        words = np.insert(np.asarray(coded.indices), bounds[1:], len(packed))
+        each = lengths[words]
+        ends = np.cumsum(each, dtype=np.int32)
+        at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32) + np.repeat(firsts[words] - (ends - each), each)
+        stops = ends[bounds[1:] + np.arange(len(texts))].astype(np.int64)
         return table[at], np.concatenate([[0], stops])
 
 
-_CACHE: dict[tuple, WordCache] = {}
-
 MANIFEST = "shard int, path string, n_docs long, n_ids long"
 
 
@@ -263,7 +279,7 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int, shards: int | None
     folder = fresh_path(spark, "tokens")
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
-    key = (tokenizer_file, end_id)
+    key = ("words", tokenizer_file, end_id)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +289,7 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int, shards: int | None
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        if (cache := _CACHE.get(key)) is None:
-            _CACHE.clear()
-            cache = _CACHE[key] = WordCache(json.value, end_id)
+        cache = worker_cache(key, lambda: WordCache(json.value, end_id))
         part, piece, ids, doc_ids, held = context.partitionId(), 0, [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -286,7 +300,7 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int, shards: int | None
             )
 
         for batch in batches:
-            for some in few_mb(batch):
+            for some in few_mb(batch, 4 << 20):
                 flat, bounds = cache.encode(some.column("text"))
                 for doc_id, first, last in zip(some.column("doc_id").to_pylist(), bounds, bounds[1:]):
                     ids.append(flat[first:last].tobytes())
