@@ -91,7 +91,8 @@ def targets(histogram: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def _covariate() -> Column:
-    return (F.col("size") + F.col("mean") / 2) / (F.col("size") + F.col("mean"))
+    """Of documents with words; sizes of 0 take no part."""
+    return (F.col("size") + F.col("mean") / 2) / F.greatest(F.col("size") + F.col("mean"), F.lit(1.0))
 
 
 def _rate(mix: Mix) -> Column:

@@ -5,7 +5,8 @@ other urls the regression does. It is fitted on the driver to a small labelled t
 parameter, and reaches the executors as one vector of weights.
 
 Edge cases: a null url, or one without `://`, has an empty host and path; no rule fits it and, having no n-gram, it is
-allowed. Repeated rows are judged one by one. Extra columns pass through `judge`, except names that begin with `_mp_`.
+allowed. Repeated rows are judged one by one. Extra columns pass through
+`judge`; one with the name of a result gives way to it, and names that begin with `_mp_` are reserved.
 An url of any length is hashed whole.
 """
 
@@ -150,7 +151,8 @@ def judge(pages: DataFrame, model: tuple[np.ndarray, float], rules: tuple[Rule,
     df = df.withColumn("_mp_rule", rule_of(F.col("_mp_host"), F.col("_mp_path"), rules))
     df = df.withColumn("_mp_p", probability("_mp_host", "_mp_path"))
     by_model = F.when(F.col("_mp_p") >= m.threshold, "block").otherwise("allow")
+    results = ("host", "path", "rule", "probability", "verdict")
     return df.select(
-        *pages.columns, F.col("_mp_host").alias("host"), F.col("_mp_path").alias("path"), F.col("_mp_rule.name").alias("rule"),
+        *[c for c in pages.columns if c not in results], F.col("_mp_host").alias("host"), F.col("_mp_path").alias("path"), F.col("_mp_rule.name").alias("rule"),
         F.col("_mp_p").alias("probability"), F.coalesce("_mp_rule.verdict", by_model).alias("verdict"),
     )
