@@ -182,7 +182,8 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     parts = []
     for k in sorted(fields):
         c = fields[k].cast("string")
-        quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\\\\\"), '"', '\\\\\\\\"'), F.lit('"'))
+        safe = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        quoted = F.concat(F.lit('"'), safe, F.lit('"'))
         parts.append(F.concat(F.lit(f'"{k}": '), F.coalesce(quoted, F.lit("null"))))
     return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 

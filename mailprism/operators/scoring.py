@@ -151,7 +151,7 @@ def legacy_auth(*results: Column) -> Column:
         for k, v in LEGACY_AUTH.items():
             c = F.when(r == k, v).otherwise(c)
         points.append(F.when(r.isNull(), 0).otherwise(c))
-    return F.greatest(*points).cast("double")
+    return F.greatest(F.lit(0), *points).cast("double")
 
 
 def legacy_label(label: Column, conf: Column) -> Column:
