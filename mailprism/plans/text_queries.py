@@ -22,7 +22,7 @@ PROBE_SQL = "select page_id, " + PROBES.replace("{scheme}", "case page_id % 2 wh
 
 @query("url_extract", "ST-04 AR-01 SL-10", r"""
     select page_id, (len(list_distinct(list_transform(regexp_extract_all(html, 'https?://[a-zA-Z0-9._~:/?#\[\]@!$&''()*+,;=%-]+', 0, 'i'),
-      lambda u: regexp_replace(u, '[.,;:!?)\]]+$', ''))))::bigint as n_urls from pages""")
+      lambda u: regexp_replace(u, '[.,;:!?)\]]+$', '')))))::bigint as n_urls from pages""")
 def url_extract(t):
     return t("pages").select("page_id", F.size(net.urls_in(F.col("html"))).cast("long").alias("n_urls"))
 
