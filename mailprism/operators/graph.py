@@ -294,9 +294,11 @@ def campaign_id(ids: Column) -> Column:
 def campaign_pairs(links: DataFrame, email: str, ioc: list[str], least_shared: int, most_per_ioc: int = 2_000) -> DataFrame:
     """(a, b, shared) of emails that share `least_shared` indicators.
 
-    An indicator in more than `most_per_ioc` emails pairs nobody by itself: its emails are compared through an edge to
-    its first email, so that no list is squared; components are the same, as shared counts only fall short there.
+    If one shared indicator is enough, an indicator in more than `most_per_ioc` emails links them through its first email
+    alone: campaigns as components stay the same, and no long list is squared. If more are needed, every pair is counted.
     """
+    if least_shared > 1:
+        most_per_ioc = 1 << 60
     sized = links.select(email, *ioc).distinct()
     counts = sized.groupBy(*ioc).agg(F.count(F.lit(1)).alias("n"), F.min(email).alias("first"))
     sized = sized.join(counts.filter("n > 1"), ioc)

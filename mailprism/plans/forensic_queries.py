@@ -73,14 +73,14 @@ def chain_verify(t):
 
 @query("audit_verify", "WN-08", """with c as (select o_orderkey as id, sha256(o_orderkey::varchar) as content_hash, sha256('p' || (o_orderkey - 1)::varchar) as previous_hash from orders),
     x as (select id, case when id = (select min(id) from c) then 'GENESIS' when id % 1000 = 7 then 'bad' else lag(ch) over (order by id) end as previous_hash, content_hash, ch from (select *, sha256(id::varchar || 'c') as ch from c)),
-    y as (select *, lag(ch, 1, 'GENESIS') over (order by id) as b from x) select id, previous_hash <> b as broken_link, ch <> sha256(previous_hash || content_hash) as broken_hash from y where id % 100 = 7 and previous_hash <> b""")
+    y as (select *, lag(ch, 1, 'GENESIS') over (order by id) as b from x) select id, previous_hash <> b as broken_link, ch <> sha256(previous_hash || content_hash) as broken_hash from y where previous_hash <> b""")
 def audit_verify(t):
-    from pyspark.sql import Window as W
-
     o = t("orders").select(F.col("o_orderkey").alias("id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("content_hash"), F.sha2(F.concat(F.col("o_orderkey").cast("string"), F.lit("c")), 256).alias("chain_hash"))
-    prev = F.lag("chain_hash", 1, "GENESIS").over(W.orderBy("id"))
-    log = settled(o.withColumn("previous_hash", F.when((F.col("id") % 1000 == 7) & (prev != "GENESIS"), "bad").otherwise(prev)))
-    return forensics.verified_chain(log, None, "id").filter("broken_link and id % 100 = 7")
+    before = o.select((F.col("id") + 1).alias("id"), F.col("chain_hash").alias("prev"))  # keys are consecutive
+    prev = F.coalesce("prev", F.lit("GENESIS"))
+    log = o.join(before, "id", "left").withColumn("previous_hash", F.when((F.col("id") % 1000 == 7) & (prev != "GENESIS"), "bad").otherwise(prev))
+    log = settled(log.drop("prev"))
+    return forensics.verified_chain(log, None, "id").filter("broken_link")
 
 
 @query("budget_topn", "WN-12 SL-01 AG-48", "select event_type, user_id, event_id from (select *, row_number() over (partition by event_type order by ts, event_id) as r from events) where r <= 7 order by r, event_type limit 20")
@@ -167,11 +167,11 @@ def cache_status(t):
     return intel.cache_status(rows, as_of, F.expr("interval 24 hours")).groupBy("cache_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ioc_normalize", "CO-13 CO-14 HS-01 IP-02", """with v as (select unnest(['  8.008.8.8 ', 'Example.COM.', 'HTTP://Ex.com/A', 'a@B.org', md5(p_partkey::varchar), 'nonsense', '2001:db8::1']) as v from part where p_partkey <= 3)
+@query("ioc_normalize", "CO-13 CO-14 HS-01 IP-02", """with v as (select unnest(['  8.008.8.8 ', 'Example.COM.', 'HTTP://Ex.com/A', 'a@B.org', md5(p_partkey::varchar), 'nonsense', '2001:db8::1']) as v from part)
     select case when length(trim(v)) = 32 then 'FILE_HASH' when v like '%8.008%' then 'IPV4' when v like '2001%' then 'IPV6' when v like '%@%' then 'EMAIL' when v like 'HTTP%' then 'URL' else 'DOMAIN' end as ioc_type,
     case when v like '%8.008%' then '8.8.8.8' when v like 'Example%' then 'example.com' when v like 'HTTP%' then 'http://ex.com/A' else lower(trim(v)) end as normalized_value, count(*) as n from v where v <> 'nonsense' group by 1, 2""")
 def ioc_normalize(t):
-    v = t("part").filter("p_partkey <= 3").select(F.explode(F.array(*map(F.lit, ["  8.008.8.8 ", "Example.COM.", "HTTP://Ex.com/A", "a@B.org"]), F.md5(F.col("p_partkey").cast("string")), F.lit("nonsense"), F.lit("2001:db8::1"))).alias("v"))
+    v = t("part").select(F.explode(F.array(*map(F.lit, ["  8.008.8.8 ", "Example.COM.", "HTTP://Ex.com/A", "a@B.org"]), F.md5(F.col("p_partkey").cast("string")), F.lit("nonsense"), F.lit("2001:db8::1"))).alias("v"))
     return intel.distinct_iocs(v, "v")
 
 

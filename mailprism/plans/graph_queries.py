@@ -120,10 +120,10 @@ def _links(t):
 
 
 @query("bfs_levels", "GR-10", f"""
-    with recursive l as ({LINKS}), r(node, level) as (select 'o' || o_orderkey::varchar, 0 from orders where o_orderkey % 50 = 0
+    with recursive l as ({LINKS}), r(node, level) as (select 'o' || o_orderkey::varchar, 0 from orders
     union select l.target, level + 1 from r join l on r.node = l.source where level < 3) select node, min(level)::int as level from r group by 1""")
 def bfs_levels(t):
-    start = t("orders").filter("o_orderkey % 50 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    start = t("orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
     return graph.bfs_levels(_links(t), start, 3, settled)
 
 
@@ -136,10 +136,10 @@ def bfs_fan_out(t):
 
 
 @query("shortest_path", "GR-11", f"""
-    with recursive l as ({LINKS}), r(node, level) as (select 'o' || o_orderkey::varchar, 0 from orders where o_orderkey % 500 = 0
+    with recursive l as ({LINKS}), r(node, level) as (select 'o' || o_orderkey::varchar, 0 from orders
     union select l.target, level + 1 from r join l on r.node = l.source where level < 5) select node, min(level)::int as level from r where node like 'r%' group by 1""")
 def shortest_path(t):
-    start = t("orders").filter("o_orderkey % 500 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    start = t("orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
     goal = t("region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
     return graph.shortest_path_length(_links(t), start, goal, 5, settled)
 
