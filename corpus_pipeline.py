@@ -21,8 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are in no language; fitted to the stage's own rows, without the held-out fold."""
     held_out = F.coalesce(language.held_out(F.col("doc_id")), F.lit(False))
     model = language.fit(docs.filter(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
-    judged = language.identify(docs.select(*docs.columns), model)
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    judged = language.identify(docs, model, names=("_mp_lang", "_mp_score"))
+    kept = (F.col("_mp_lang") != "und") & (F.col("_mp_score") >= LEAST_LANGUAGE_SCORE)
+    return judged.filter(kept).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if again.isEmpty():
         return kept
     again = settled(again, "pipeline-repeated")
-    repeated = by_ids(kept, again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *docs.columns)).alias("r"))
-    return by_ids(kept, again, "doc_id", "left_anti").unionByName(repeated.select(*[F.col(f"r.{c}") for c in docs.columns]))
+    # the row that the join compared: the one with the smallest text
+    first = F.min(F.struct(F.col("text").alias("_mp_text"), F.struct(*docs.columns).alias("_mp_row"))).alias("r")
+    repeated = by_ids(kept, again, "doc_id", "left_semi").groupBy("doc_id").agg(first)
+    return by_ids(kept, again, "doc_id", "left_anti").unionByName(repeated.select("r._mp_row.*"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .columns import worker_cache
 from .common import settled
 
 
@@ -170,16 +171,11 @@ def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.filter(F.size("v") == (lengths[0]["d"] if lengths else 0))
 
 
-_GRAPH: dict[str, Graph] = {}
-
-
 def _assigned(rows: DataFrame, centroids, key: str, p: Index, how) -> DataFrame:
     """(list, vec_id, v): rows once for each list that `how` gives."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if (graph := _GRAPH.get(key)) is None:
-            _GRAPH.clear()
-            graph = _GRAPH[key] = Graph(centroids.value, p)
+        graph = worker_cache(key, lambda: Graph(centroids.value, p))
         for batch in batches:
             for at in range(0, len(batch), 512):
                 some = batch.iloc[at : at + 512]

@@ -22,9 +22,11 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
+
+from .columns import few_mb, worker_cache
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -236,10 +238,6 @@ class Codec:
         yield stream.feed(b"", last=True)
 
 
-_CODEC: dict[tuple, Codec] = {}
-
-SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-
 
 def encode_decode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id with n_tokens, ids_sha256 and decoded_sha256 of each whole text; with_ids adds ids (binary) and decoded.
@@ -248,32 +246,29 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(rank_file))
-    key = (rank_file, pattern)
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = _CODEC.get(key)
-        if codec is None:
-            _CODEC.clear()
-            codec = _CODEC[key] = Codec(ranks.value, pattern)
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                runs = list(codec.runs(text)) if isinstance(text, str) else []
-                ids, decoded = hashlib.sha256(), hashlib.sha256()
-                for run in runs:
-                    ids.update(run)
-                parts = list(codec.decode(runs))
-                for part in parts:
-                    decoded.update(part.encode("utf-8", "surrogatepass"))
-                row = [sum(map(len, runs)) // 4, ids.hexdigest(), decoded.hexdigest()]
-                out.append(row + [b"".join(runs), "".join(parts)] if with_ids else row)
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
-            got = pd.DataFrame(out, columns=names)
-            got.insert(0, "doc_id", batch["doc_id"].array)
-            yield got
-
-    key_type = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", key_type)]).simpleString()[7:-1].replace(":", " ")
-    return docs.select("doc_id", "text").mapInPandas(
-        rows, f"{schema}, {SCHEMA}" + ", ids binary, decoded string" * with_ids
-    )
+    key = ("bpe", rank_file, pattern)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = worker_cache(key, lambda: Codec(ranks.value, pattern))
+        for whole in batches:
+            for batch in few_mb(whole):
+                out = [[] for _ in range(5)]
+                for text in batch.column("text").to_pylist():
+                    runs = list(codec.runs(text)) if text else []
+                    ids, decoded = hashlib.sha256(), hashlib.sha256()
+                    for run in runs:
+                        ids.update(run)
+                    parts = list(codec.decode(runs))
+                    for part in parts:
+                        decoded.update(part.encode("utf-8", "surrogatepass"))
+                    row = [sum(map(len, runs)) // 4, ids.hexdigest(), decoded.hexdigest()]
+                    for column, x in zip(out, row + [b"".join(runs), "".join(parts)] * with_ids, strict=False):
+                        column.append(x)
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()][: len(names)]
+                made = [pa.array(x, kind) for x, kind in zip(out, kinds, strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", *names])
+
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
+    made = f"n_tokens long, ids_sha256 string, decoded_sha256 string{', ids binary, decoded string' * with_ids}"
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(made).fields])
+    return docs.select("doc_id", "text").mapInArrow(rows, schema)

@@ -30,6 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .columns import worker_cache
 from .common import by_ids, drop_settled, settled
 
 
@@ -57,7 +58,6 @@ class _Hashes(dict):
         return h
 
 
-_CACHE = _Hashes()
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -74,7 +74,7 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     found = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z alone, at the ASCII spaces alone
     if not found:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_CACHE.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(worker_cache("shingles", _Hashes).__getitem__, found), np.uint64, len(found))
     k = min(words, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -82,6 +82,12 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
+def _pieces(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def _first_pass(docs: DataFrame, bits: int, p: JaccardJoin) -> DataFrame:
     """A row for each document (doc_id, n, fp) and, from each task, the counters of its shingles in 64 blobs."""
     size = 1 << bits
@@ -93,7 +99,7 @@ def _first_pass(docs: DataFrame, bits: int, p: JaccardJoin) -> DataFrame:
             slots, n = np.unique(np.concatenate(held), return_counts=True)
             counts[slots] = np.minimum(counts[slots] + n, 65_535)  # a counter stays at its top
 
-        for batch in batches:
+        for batch in _pieces(batches):
             n, fp, held, waiting = [], [], [], 0
             for text in batch["text"]:
                 s = shingles(text, p.words)
@@ -106,7 +112,7 @@ def _first_pass(docs: DataFrame, bits: int, p: JaccardJoin) -> DataFrame:
                     held, waiting = [], 0
             if waiting:
                 add(held)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "fp": fp, "part": None, "counts": None})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "fp": fp, "part": None, "counts": None}, index=batch.index)
         for i, part in enumerate(np.split(counts, 64)):
             if part.any():
                 yield pd.DataFrame(
@@ -149,7 +155,7 @@ def _postings(docs: DataFrame, levels: np.ndarray, p: JaccardJoin) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         levels = shared.value
         k = np.arange(1, p.most_matches + 1)
-        for batch in batches:
+        for batch in _pieces(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingles(text, p.words)
@@ -237,7 +243,7 @@ def _multi_match(pairs: DataFrame, postings: DataFrame, p: JaccardJoin) -> DataF
 
 def _sets(docs: DataFrame, ids: DataFrame, p: JaccardJoin) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _pieces(batches):
             yield pd.DataFrame({"id": batch["doc_id"], "s": [shingles(t, p.words).tobytes() for t in batch["text"]]})
 
     return by_ids(docs, ids, "doc_id", "left_semi").mapInPandas(rows, "id long, s binary")

@@ -11,12 +11,13 @@ the text's mean log-likelihood a letter, under equal priors, so that it does not
 
 Edge cases: a null text, or one without a letter, is `und` with score 0. Without any labelled row every text is `und`.
 Repeated rows are judged one by one. Languages are the non-null values of lang in the sample. lang, source and doc_id
-are no inputs of a prediction. Extra columns pass through `identify`, except names that begin with `_mp_`.
+are no inputs of a prediction. Extra columns pass through `identify`; one with the name of a result gives way to it.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from .columns import coded_words, few_mb
+from .columns import coded_words, few_mb, worker_cache
 
 MARK = "▁"
 RUN = re.compile(r"[^\W\d_]+")
@@ -221,23 +222,18 @@ class Scorer:
         return sums[:-1]
 
 
-_SCORER: dict[str, Scorer] = {}
-
-
-def identify(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], m: LanguageModel = LanguageModel()) -> DataFrame:
-    """docs with lang_pred and score."""
-    import uuid
+def identify(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], m: LanguageModel = LanguageModel(), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score, under `names`."""
+    docs = docs.select([c for c in docs.columns if c not in names])
 
     languages, pieces, p = model
     if not languages:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return docs.withColumns({names[0]: F.lit("und"), names[1]: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast((pieces, p))  # vocabulary times languages
     key, evidence, longest = uuid.uuid4().hex, m.evidence, m.longest_piece
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (scorer := _SCORER.get(key)) is None:
-            _SCORER.clear()
-            scorer = _SCORER[key] = Scorer(*shared.value, longest)
+        scorer = worker_cache(key, lambda: Scorer(*shared.value, longest))
         for whole in batches:
             for batch in few_mb(whole):
                 sums = scorer.score(batch.column("text"))
@@ -248,9 +244,9 @@ def identify(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], m:
                 score = 1 / np.exp(mean).sum(1)
                 pred = [languages[b] if n else "und" for b, n in zip(best, letters, strict=True)]
                 made = [pa.array(pred, pa.string()), pa.array(np.where(letters > 0, score, 0.0))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.mapInArrow(rows, schema)
 
 
