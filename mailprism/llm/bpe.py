@@ -51,7 +51,7 @@ def merge(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 62) -> list[b
 class Transducer:
     """Encodes byte strings; states and transitions are made when first met."""
 
-    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 600_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 400_000) -> None:
         self.ranks, self.max_transitions = ranks, max_transitions
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
@@ -188,7 +188,7 @@ class Utf8Stream:
 class Codec:
     """Encodes and decodes whole texts; ids are little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_cached: int = 400_000, run: int = 1 << 16) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_cached: int = 300_000, run: int = 1 << 16) -> None:
         self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
         self.max_cached, self.run = max_cached, run
         self.of = {t: np.uint32(i).astype("<u4").tobytes() for t, i in ranks.items()}
