@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -74,13 +75,12 @@ def simhash_of(content: str | None, most_tokens: int = 80) -> int:
     """
     tokens = WORD.findall((content or "").lower())[:most_tokens]
     features = tokens + [f"{a}_{b}" for a, b in zip(tokens, tokens[1:])]
-    votes = [0] * 64
-    for f in features:
-        h = int(hashlib.md5(f.encode()).hexdigest()[:16], 16)
-        for bit in range(64):
-            votes[bit] += 1 if h >> bit & 1 else -1
-    n = sum(1 << bit for bit, v in enumerate(votes) if v > 0)
-    return n - (1 << 64) if n >> 63 else n
+    if not features:
+        return 0
+    digests = b"".join([hashlib.md5(f.encode("utf-8", "surrogatepass")).digest()[:8] for f in features])
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+    votes = 2 * bits.sum(0, dtype=np.int64) > len(features)  # +1 for a set bit, -1 for another
+    return int.from_bytes(np.packbits(votes).tobytes(), "big", signed=True)
 
 
 @F.pandas_udf(T.LongType())
