@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,18 +69,24 @@ def exact_duplicates(records: DataFrame, key: str, position: str) -> DataFrame:
 WORD = re.compile(r"\w+")
 
 
-def simhash_of(content: str | None, most_tokens: int = 80) -> int:
-    """64-bit SimHash of the first tokens and their pairs, as a signed number.
+def simhash_of(content: str | None, most_tokens: int | None = None) -> int:
+    """64-bit SimHash of all tokens and their pairs, as a signed number.
 
-    The leading window is part of the fingerprint's definition: equal fingerprints must mean the same to all readers.
+    A feature votes with the root of its count: with the count itself, common words make unrelated long texts alike. With
+    most_tokens (80 in the reference) it is that of the first tokens only, and counts vote, as the reference has it.
     """
     tokens = WORD.findall((content or "").lower())[:most_tokens]
-    features = tokens + [f"{a}_{b}" for a, b in zip(tokens, tokens[1:])]
-    if not features:
+    counts = Counter(tokens + [f"{a}_{b}" for a, b in zip(tokens, tokens[1:])])
+    if not counts:
         return 0
-    digests = b"".join([hashlib.md5(f.encode("utf-8", "surrogatepass")).digest()[:8] for f in features])
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
-    votes = 2 * bits.sum(0, dtype=np.int64) > len(features)  # +1 for a set bit, -1 for another
+    features, weights = list(counts), np.fromiter(counts.values(), np.int64)
+    if most_tokens is None:
+        weights = np.rint(256 * np.sqrt(weights)).astype(np.int64)
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(features), 65_536):
+        digests = b"".join([hashlib.md5(f.encode("utf-8", "surrogatepass")).digest()[:8] for f in features[i : i + 65_536]])
+        ones += weights[i : i + 65_536] @ np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+    votes = 2 * ones > weights.sum()  # + for a set bit, - for another
     return int.from_bytes(np.packbits(votes).tobytes(), "big", signed=True)
 
 

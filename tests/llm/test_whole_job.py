@@ -3,6 +3,7 @@
 from collections import Counter
 
 from mailprism.llm import sharding
+from mailprism.operators import corpus
 
 
 def test_shards_of_copies_reach_the_lower_bound(spark):
@@ -13,3 +14,11 @@ def test_shards_of_copies_reach_the_lower_bound(spark):
     assert [r["count"] for r in placed.groupBy("shard").count().collect()] == [n // k] * k
     least = sum(-(-m // (n // k)) - 1 for m in Counter(texts).values())
     assert sharding.cut_edges(None, placed).first().cuts <= least + k
+
+
+def test_simhash_reads_whole_texts():
+    opening = " ".join(f"word{i}" for i in range(80))
+    a, b = (f"{opening} {' '.join(f'{x}{i}' for i in range(400))}" for x in "ab")
+    assert corpus.simhash_of(a, 80) == corpus.simhash_of(b, 80) == corpus.simhash_of(opening)
+    assert bin((corpus.simhash_of(a) ^ corpus.simhash_of(b)) & (1 << 64) - 1).count("1") > 5
+    assert bin((corpus.simhash_of(a) ^ corpus.simhash_of("header " + a)) & (1 << 64) - 1).count("1") <= 5
