@@ -245,9 +245,15 @@ def token_bucket(t):
 
 @query("ml_tfidf_lr", "ML-01 AG-56")
 def ml_tfidf_lr(t):
-    d = t("documents").join(t("labels"), "doc_id").withColumn("label", F.col("quality").cast("double"))
-    model = ml.text_classifier("text", "label", 2000).fit(d.filter("doc_id % 5 <> 0"))
-    return ml.probability_of(model.transform(d.filter("doc_id % 5 = 0")), 1, "p").select("doc_id", "label", "prediction", F.round("p", 6).alias("p"))
+    labels = t("labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    d = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(labels, "doc_id", "left")
+
+    def fit(rows):
+        model = ml.text_classifier("text", "label", weight="weight").fit(ml.balanced(rows, "label"))
+        return lambda df: ml.probability_of(model.transform(df), 1, "p").select("doc_id", "label", "prediction", F.round("p", 6).alias("p"))
+
+    fold = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(5))
+    return ml.out_of_fold(settled(d), "label", fold, 5, fit)
 
 
 @query("ml_features_lr", "ML-02 ML-04 ML-09")
