@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: The separators of words everywhere in this subpackage: space and the six ASCII controls 0x09-0x0D.
@@ -20,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="mailprism-")
         spark.sparkContext.setCheckpointDir(found)
     return (found if "://" in found or found.startswith("file:") else f"file://{found}").rstrip("/")
@@ -36,16 +40,36 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage in a way that survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._settled_at = path
+    return found
 
 
-def drop_settled(df: DataFrame) -> None:
+def held(df: DataFrame) -> DataFrame:
+    """df computed once and kept on the executors' disks, without files in the shared folder; unpersist() it after use.
+
+    What a lost executor held is computed again from the tables that df was made of: those have to stay. It cuts no
+    lineage: loops settle.
+    """
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    kept.count()
+    return kept
+
+
+def compact(df: DataFrame, name: str, rows: int = 500_000) -> DataFrame:
+    """settled() for narrow rows that many tasks give few of: they are held first and written to a file for each `rows`."""
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    found = settled(kept.coalesce(max(1, -(-kept.count() // rows))), name)
+    kept.unpersist()
+    return found
+
+
+def drop_settled(*frames: DataFrame) -> None:
     """Deletes what settled() wrote, once nothing lazy reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
+    for df in frames:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._settled_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -11,12 +11,13 @@ The sketch only steers cost. Whatever it says, every link is found: nothing is s
 
 Large groups of near copies are not expanded into all pairs. Equal sets are one class to begin with. A first round
 verifies each class against hubs only: in each posting list, the member whose shared shingle stands earliest, that is
-the one with the fewest shingles of its own. A second round takes all candidate pairs whose members are not yet
-connected; pairs inside a component cannot change it. Components are found by joins that contract the graph.
+the one with the fewest shingles of its own. While the lists that are still open would cost too much, their members
+outside the largest component are held against a few others of it that a hash picks. A last round takes all candidate
+pairs whose members are not yet connected; pairs inside a component cannot change it. Components are found by joins that contract the graph.
 
 Edge cases: a null, empty or wordless text has an empty set and is linked with nothing; fewer than five words are one
-shingle. Rows that repeat a doc_id are one document; if their texts differ, the smallest text counts. Rows without
-doc_id are returned with a null component and are compared with nothing. Extra columns are not read.
+shingle. A text is shingled whole, however long; a worker holds the shingles of 4 MB of texts, or of one longer text, at
+once. Rows that repeat a doc_id are one document; if their texts differ, the smallest text counts. Rows without doc_id are returned with a null component and are compared with nothing. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .columns import worker_cache
-from .common import by_ids, drop_settled, settled
+from .columns import few_mb, hashed_words
+from .common import by_ids, compact, drop_settled, held, settled
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,9 @@ class JaccardJoin:
     most_matches: int = 12  # largest k
     verify_cost: float = 40.0  # of a candidate, in postings read
     hot: int = 2_000  # estimated documents from which on a shingle's list is dealt to several tasks
+    block: int = 4_096  # members of an open list that one task sets others against
+    picks: int = 4  # members of a component that a stranger is held against in a turn
+    open_cost: float = 64.0  # of the open lists, in postings, up to which no more turns are taken
 
     def overlap(self, n, m):
         """Least intersection of linked sets of n and m elements: ceil(p (n + m) / (100 + p))."""
@@ -50,14 +55,6 @@ class JaccardJoin:
         return (self.percent * (n + m) + whole - 1) // whole
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -67,59 +64,50 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a whole text; A-Z count as a-z."""
-    if not isinstance(text, str):
-        return np.zeros(0, np.uint64)
-    found = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z alone, at the ASCII spaces alone
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(worker_cache("shingles", _Hashes).__getitem__, found), np.uint64, len(found))
-    k = min(words, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
+def _windows(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k successive hashes."""
+    n = max(0, len(h) - k + 1)
+    out = np.full(n, k, np.uint64)
     for i in range(k):
-        out = _mix(out * _FACTORS[1] + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+        out = _mix(out * _FACTORS[1] + h[i : n + i])
+    return out
+
+
+def shingles(texts: pa.Array, words: int = 5) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each whole text; A-Z count as a-z."""
+    h, bounds = hashed_words(texts)
+    every, out = _windows(h, words), []
+    for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        n = last - first
+        x = np.sort(every[first : last - words + 1] if n >= words else _windows(h[first:last], n) if n else h[:0])
+        out.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if n > words else x)
+    return out
 
 
-def _pieces(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.iloc[at : at + rows]
+#: Bytes of text whose shingles a worker holds at once; a longer text is held alone.
+TEXT_RUN = 4 << 20
 
 
 def _first_pass(docs: DataFrame, bits: int, p: JaccardJoin) -> DataFrame:
     """A row for each document (doc_id, n, fp) and, from each task, the counters of its shingles in 64 blobs."""
-    size = 1 << bits
+    size, schema = 1 << bits, "doc_id long, n long, fp binary, part int, counts binary"
+    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.uint16)
-
-        def add(held: list[np.ndarray]) -> None:
-            slots, n = np.unique(np.concatenate(held), return_counts=True)
-            counts[slots] = np.minimum(counts[slots] + n, 65_535)  # a counter stays at its top
-
-        for batch in _pieces(batches):
-            n, fp, held, waiting = [], [], [], 0
-            for text in batch["text"]:
-                s = shingles(text, p.words)
-                n.append(len(s))
-                fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                held.append((s >> np.uint64(64 - bits)).astype(np.uint32))
-                waiting += len(s)
-                if waiting > 1 << 21:
-                    add(held)
-                    held, waiting = [], 0
-            if waiting:
-                add(held)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "fp": fp, "part": None, "counts": None}, index=batch.index)
+        for whole in batches:
+            for batch in few_mb(whole, TEXT_RUN):
+                sets = shingles(batch.column("text"), p.words)
+                slots, n = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
+                counts[slots] = np.minimum(counts[slots] + n, 65_535)  # a counter stays at its top
+                none = [None] * len(sets)
+                fp = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                yield pa.record_batch([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(fp, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=kinds)
         for i, part in enumerate(np.split(counts, 64)):
             if part.any():
-                yield pd.DataFrame(
-                    {"doc_id": [None], "n": [None], "fp": [None], "part": [i], "counts": [zlib.compress(part.tobytes(), 1)]}
-                )
+                yield pa.record_batch([pa.array([x], kind) for x, kind in zip([None, None, None, i, zlib.compress(part.tobytes(), 1)], kinds.types, strict=True)], schema=kinds)
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, fp binary, part int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(rows, schema)
 
 
 def _sketch(first: DataFrame, bits: int) -> np.ndarray:
@@ -144,7 +132,7 @@ def _sketch(first: DataFrame, bits: int) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, levels: np.ndarray, p: JaccardJoin) -> DataFrame:
-    """(token, id, nak, hot): the prefix of each document's set at its chosen k; nak packs at, n and k into a long.
+    """(token, id, at, nk, hot): the prefix of each document's set at its chosen k; nk packs n and k.
 
     hot: the sketch has counted the token's slot often, so that its list may be too long for one task.
     """
@@ -152,36 +140,40 @@ def _postings(docs: DataFrame, levels: np.ndarray, p: JaccardJoin) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     hot = round(4 * np.log2(p.hot))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         k = np.arange(1, p.most_matches + 1)
-        for batch in _pieces(batches):
-            out: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                s = shingles(text, p.words)
-                n = len(s)
-                if not n:
-                    continue
-                level = levels[s >> np.uint64(shift)]
-                order = np.argsort(level, kind="stable")  # hashes are in order already
-                least = -(-p.percent * n // 100)
-                most = min(p.most_matches, least)
-                length = n - least + k[:most]
-                cost = np.cumsum(np.exp2(level[order[: length[-1]]] / 4.0))[length - 1] + length
-                chosen = int(np.argmin(cost * (1 + p.verify_cost / k[:most] ** 2)))
-                prefix = order[: length[chosen]]
-                out.append((s[prefix].view(np.int64), doc_id, n, chosen + 1, level[prefix] >= hot))
-            if out:
-                sizes = [len(x[0]) for x in out]
-                yield pd.DataFrame({
-                    "token": np.concatenate([x[0] for x in out]),
-                    "id": np.repeat([x[1] for x in out], sizes),
-                    "nak": np.repeat([x[2] << 8 | x[3] for x in out], sizes)
-                    | np.concatenate([np.arange(x) for x in sizes]) << 36,
-                    "hot": np.concatenate([x[4] for x in out]),
-                })
-
-    return docs.select("doc_id", "text").mapInPandas(rows, "token long, id long, nak long, hot boolean")
+        for whole in batches:
+            for batch in few_mb(whole, TEXT_RUN):
+                tokens, sizes, packed, common = [], [], [], []
+                for s in shingles(batch.column("text"), p.words):
+                    n = len(s)
+                    if not n:
+                        sizes.append(0)
+                        packed.append(0)
+                        continue
+                    level = levels[s >> np.uint64(shift)]
+                    order = np.argsort(level, kind="stable")  # hashes are in order already
+                    least = -(-p.percent * n // 100)
+                    most = min(p.most_matches, least)
+                    length = n - least + k[:most]
+                    cost = np.cumsum(np.exp2(level[order[: length[-1]]] / 4.0))[length - 1] + length
+                    chosen = int(np.argmin(cost * (1 + p.verify_cost / k[:most] ** 2)))
+                    prefix = order[: length[chosen]]
+                    tokens.append(s[prefix])
+                    common.append(level[prefix] >= hot)
+                    sizes.append(len(prefix))
+                    packed.append(n << 8 | chosen + 1)
+                if tokens:
+                    ids = np.repeat(np.arange(len(sizes)), sizes)
+                    at = np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(tokens).view(np.int64)), batch.column("doc_id").take(pa.array(ids)),
+                         pa.array(at), pa.array(np.array(packed, np.int64)[ids]), pa.array(np.concatenate(common))],
+                        ["token", "id", "at", "nk", "hot"],
+                    )
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "token long, id long, at int, nk long, hot boolean")
 
 
 def _unpacked(nak: str) -> dict[str, Column]:
@@ -212,7 +204,8 @@ def _shared(postings: DataFrame, p: JaccardJoin) -> DataFrame:
         hub = F.struct(F.col("hub.id").alias("id"), *[v.alias(c) for c, v in _unpacked("hak").items()])
         return met.select("token", "id", "at", "n", "k", hub.alias("h"))
 
-    narrow = ["token", "id", "nak"]
+    nak = F.shiftleft(F.col("at").cast("long"), 36).bitwiseOR(F.col("nk"))  # one long to shuffle
+    narrow = ["token", "id", nak.alias("nak")]
     rare = postings.filter("not hot").select(narrow)
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return with_hub(rare.repartition(n, "token")).unionByName(with_hub(postings.filter("hot").select(narrow)))
@@ -225,12 +218,42 @@ def _fits(p: JaccardJoin, n: Column, at: Column, k: Column, m: Column, at2: Colu
     return (at < n - t + least) & (at2 < m - t + least)
 
 
+def _open_lists(shared: DataFrame, near: DataFrame, p: JaccardJoin) -> tuple[DataFrame, int]:
+    """One-match postings of lists whose members are in several components, with the list's largest one, `top`; the cost.
+
+    The cost is that of setting all strangers of a list, its members outside top, against the whole list.
+    """
+    # a pair that shares k shingles in the prefixes for k shares one in those for one: lists need no more
+    first = F.col("at") <= F.col("n") - F.ceil(p.percent * F.col("n") / 100)
+    rooted = shared.filter(first).select("token", "id", "n", "at").join(near, "id", "left")
+    rooted = held(rooted.withColumn("root", F.coalesce("root", "id")))
+    lists = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
+    lists = lists.groupBy("token").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("roots"))
+    lists = lists.filter("roots > 1").select("token", "c", F.col("top.root").alias("top"))
+    met = compact(rooted.join(lists, "token"), "jaccard-open")
+    rooted.unpersist()
+    return met, met.filter("root <> top").agg(F.sum("c")).first()[0] or 0
+
+
+def _probes(met: DataFrame, turn: int, p: JaccardJoin) -> DataFrame:
+    """A few pairs (a, b) for each stranger: with members of top that a hash picks in its lists, those met most often."""
+    member, one = F.struct("id", "n", "at"), F.lit(1)
+    picked = [F.min_by(member, F.xxhash64("id", F.lit(turn * p.picks + i))) for i in range(p.picks)]
+    picked = met.filter("root = top").groupBy("token").agg(F.array_distinct(F.array(*picked)).alias("y"))
+    both = met.filter("root <> top").join(picked.select("token", F.explode("y").alias("y")), "token")
+    y = F.col("y")
+    both = both.filter(_fits(p, F.col("n"), F.col("at"), one, y["n"], y["at"], one))
+    found = both.groupBy("id", y["id"].alias("b")).agg(F.count(F.lit(1)).alias("matches"))
+    best = F.row_number().over(W.partitionBy("id").orderBy(F.desc("matches"), "b"))  # of a few for each list of one id
+    return found.withColumn("r", best).filter(F.col("r") <= p.picks).select(F.col("id").alias("a"), "b")
+
+
 def _multi_match(pairs: DataFrame, postings: DataFrame, p: JaccardJoin) -> DataFrame:
     """The pairs (a, b) that share min(k, k') shingles in their prefixes for that number."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     prefix = F.array_sort(F.collect_list(F.struct("at", "token"))).alias("prefix")  # a part of one document's set
     of = postings.join(ids, "id", "left_semi").groupBy("id", "n", "k").agg(prefix)
-    of = settled(of, "jaccard-prefixes")
+    of = held(of)
     named = lambda c: of.select(*[F.col(x).alias(x + c) for x in ("id", "n", "k", "prefix")])
     both = pairs.join(named("a"), F.col("a") == F.col("ida")).join(named("b"), F.col("b") == F.col("idb"))
     least = F.least("ka", "kb")
@@ -238,34 +261,71 @@ def _multi_match(pairs: DataFrame, postings: DataFrame, p: JaccardJoin) -> DataF
     within = lambda c: F.transform(
         F.filter("prefix" + c, lambda x: x["at"] < F.col("n" + c) - t + least), lambda x: x["token"]
     )
-    return both.filter(F.size(F.array_intersect(within("a"), within("b"))) >= least).select("a", "b")
+    found = both.filter(F.size(F.array_intersect(within("a"), within("b"))) >= least).select("a", "b")
+    found = compact(found, "jaccard-pairs")
+    of.unpersist()
+    return found
+
+
+def _open_pairs(met: DataFrame, shared: DataFrame, known: DataFrame, p: JaccardJoin) -> DataFrame:
+    """The pairs (a, b) of documents in different components that share min(k, k') shingles for that number, less those known.
+
+    Pairs are listed by the shortest prefixes, which by their positions let the fewest meet, and must then show all their
+    matches. Only strangers are set against others, so that a list that belongs to one large component costs its strangers
+    times its length. Members meet within sizes that allow a link, and long lists in blocks, each a task's work.
+    """
+    # sizes of one bucket differ by a little more than linked ones may, so that links join a bucket or two adjacent ones
+    bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.001 / p.percent))).cast("int")
+    met = met.withColumn("bucket", bucket).withColumn("blocks", F.ceil(F.col("c") / p.block).cast("int"))
+    x = met.filter("root <> top").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
+    x = x.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+    y = met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).alias("y")
+    n, m, one = F.col("x.n"), F.col("y.n"), F.lit(1)
+    both = x.join(y, [
+        *[F.col("x." + k) == F.col("y." + k) for k in ("token", "bucket", "block")], F.col("x.root") != F.col("y.root"),
+        (F.col("y.root") == F.col("y.top")) | (F.col("x.id") < F.col("y.id")), _fits(p, n, F.col("x.at"), one, m, F.col("y.at"), one),
+    ])
+    pairs = both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    pairs = compact(pairs.join(known, ["a", "b"], "left_anti"), "jaccard-met")
+    found = _multi_match(pairs, shared, p)
+    drop_settled(pairs)
+    return found
+
+
+def _joined(near: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (id, root) of near and further links (a, b)."""
+    of = lambda c: near.withColumnsRenamed({"id": c, "root": f"r{c}"})
+    met = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    met = met.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
+    last = components(met)
+    known = near.unionByName(last.join(near, "id", "left_anti").select("id", F.col("id").alias("root")))
+    known = known.join(last.select(F.col("id").alias("root"), F.col("root").alias("end")), "root", "left")
+    return compact(known.select("id", F.coalesce("end", "root").alias("root")), "jaccard-roots")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, p: JaccardJoin) -> DataFrame:
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _pieces(batches):
-            yield pd.DataFrame({"id": batch["doc_id"], "s": [shingles(t, p.words).tobytes() for t in batch["text"]]})
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in few_mb(whole, TEXT_RUN):
+                sets = shingles(batch.column("text"), p.words)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                flat = pa.array(np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "s"])
 
-    return by_ids(docs, ids, "doc_id", "left_semi").mapInPandas(rows, "id long, s binary")
+    return by_ids(docs, ids, "doc_id", "left_semi").mapInArrow(rows, "id long, s array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, p: JaccardJoin) -> DataFrame:
     """The pairs (a, b) that are linked, by their whole sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = settled(_sets(docs.select("doc_id", "text"), ids, p), "jaccard-sets")
+    sets = held(_sets(docs.select("doc_id", "text"), ids, p))
     left = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
-    both = left.join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b").select("a", "b", "sa", "sb")
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["sa"], batch["sb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * common >= p.percent * (len(x) + len(y) - common))
-            yield batch.loc[keep, ["a", "b"]]
-
-    return both.mapInPandas(rows, "a long, b long")
+    both = left.join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
+    common = F.size(F.array_intersect("sa", "sb"))  # the sets hold distinct hashes
+    both = both.withColumn("common", common).withColumn("union", F.size("sa") + F.size("sb") - F.col("common"))
+    links = compact(both.filter(100 * F.col("common") >= p.percent * F.col("union")).select("a", "b"), "jaccard-links")
+    sets.unpersist()
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -275,28 +335,32 @@ def components(edges: DataFrame) -> DataFrame:
     joins vertices with the same end into one; edges between two of those make the next round. A component's vertices
     other than its root at least halve in a round.
     """
-    edges = settled(edges.filter("a <> b").select("a", "b"), "edges")
+    edges = compact(edges.filter("a <> b").select("a", "b"), "edges")
     found = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root"))
-        to = settled(to, "pointers")
+        to = compact(to.withColumn("moved", F.lit(True)), "pointers")
         while True:
             ends = to.select(F.col("id").alias("root"), F.col("root").alias("end"))
-            far = settled(to.join(ends, "root").select("id", F.col("end").alias("root"), (F.col("end") != F.col("root")).alias("moved")), "pointers")
-            to = far.select("id", "root")
-            if far.filter("moved").isEmpty():
+            far = to.select("id", "root").join(ends, "root")
+            far = compact(far.select("id", F.col("end").alias("root"), (F.col("end") != F.col("root")).alias("moved")), "pointers")
+            drop_settled(to)
+            to = far
+            if to.filter("moved").isEmpty():
                 break
         if found is None:
-            found = to
+            now = to.select("id", "root")
         else:
             renamed = to.select(F.col("id").alias("root"), F.col("root").alias("end"))
-            found = found.join(renamed, "root", "left").select("id", F.coalesce("end", "root").alias("root"))
-            found = settled(found, "components")
-        a = to.withColumnsRenamed({"id": "a", "root": "ra"})
-        b = to.withColumnsRenamed({"id": "b", "root": "rb"})
+            now = found.join(renamed, "root", "left").select("id", F.coalesce("end", "root").alias("root"))
+        found = compact(now, "components")
+        a = to.select(F.col("id").alias("a"), F.col("root").alias("ra"))
+        b = to.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         left = edges.join(a, "a").join(b, "b").filter("ra <> rb")
-        edges = settled(left.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
+        rest = compact(left.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
+        drop_settled(edges, to)
+        edges = rest
     if found is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return found
@@ -309,7 +373,7 @@ def _whole(docs: DataFrame) -> DataFrame:
     n = again.count()
     if not n:
         return docs
-    again = settled(again, "repeated-ids")
+    again = compact(again, "repeated-ids")
     smallest = by_ids(docs, again, "doc_id", "left_semi", n).groupBy("doc_id").agg(F.min("text").alias("text"))
     return by_ids(docs, again, "doc_id", "left_anti", n).unionByName(settled(smallest, "repeated-docs"))
 
@@ -319,16 +383,16 @@ def join(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     whole = _whole(docs)
     bits = min(p.most_bits, max(16, (whole.count() * p.sketch_slots).bit_length()))
-    first = settled(_first_pass(whole, bits, p), "jaccard-docs")
+    first = held(_first_pass(whole, bits, p))
     named = first.filter("part is null").select("doc_id", "n", "fp")
-    classes = settled(named.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("c")), "jaccard-classes")
-    grouped = named.filter("n > 0").join(classes.filter("c > 1"), "fp")
-    copies = settled(grouped.filter("doc_id <> class_id").select("doc_id", "class_id"), "jaccard-copies")
+    classes = named.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("c"))
+    classes = compact(classes.filter("c > 1").drop("c"), "jaccard-classes")
+    grouped = named.filter("n > 0").join(classes, "fp")
+    copies = compact(grouped.filter("doc_id <> class_id").select("doc_id", "class_id"), "jaccard-copies")
     single = by_ids(whole, copies.select("doc_id"), "doc_id", "left_anti")
-    postings = settled(_postings(single, _sketch(first, bits), p), "jaccard-postings")
-
-    shared = settled(_shared(postings, p), "jaccard-shared")
-    drop_settled(postings)
+    postings = held(_postings(single, _sketch(first, bits), p))
+    shared = compact(_shared(postings, p), "jaccard-shared")
+    postings.unpersist()
     h = F.col("h")
     star = shared.filter(F.col("id") != h["id"]).filter(
         _fits(p, F.col("n"), F.col("at"), F.col("k"), h["n"], h["at"], h["k"])
@@ -337,33 +401,24 @@ def join(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
         F.count(F.lit(1)).alias("matches"), F.min(F.least(F.col("k"), h["k"])).alias("least")
     ).filter("matches >= least")
     best = star.groupBy("id").agg(F.max(F.struct("matches", (-F.col("hid")).alias("hid"))).alias("m"))
-    best = settled(best.select(F.col("id").alias("a"), (-F.col("m.hid")).alias("b")), "jaccard-stars")
+    best = compact(best.select(F.col("id").alias("a"), (-F.col("m.hid")).alias("b")), "jaccard-stars")
     links = _verified(best, single, p)
-    near = components(links)
-
-    rooted = shared.select("token", "id", "n", "at", "k").join(near, "id", "left")
-    rooted = settled(rooted.withColumn("root", F.coalesce("root", "id")), "jaccard-rooted")
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
-    open_lists = settled(rooted.join(mixed.select("token"), "token", "left_semi"), "jaccard-open")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    one = F.lit(1)  # sets that share k shingles in their prefixes for k share one in those for one
-    pair = (
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
-        & _fits(p, F.col("x.n"), F.col("x.at"), one, F.col("y.n"), F.col("y.at"), one)
-    )
-    met = x.join(y, pair).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    rest = _multi_match(settled(met, "jaccard-met"), rooted, p)
-    rest = settled(rest.join(best, ["a", "b"], "left_anti"), "jaccard-rest")
-    more = _verified(rest, single, p)
-    roots = near
+    roots = components(links)
+    postings, turn, before = shared.count(), 0, None
+    while True:
+        met, cost = _open_lists(shared, roots, p)
+        if cost <= p.open_cost * postings or before is not None and cost > 0.8 * before:
+            break
+        more = _verified(_probes(met, turn, p), single, p)
+        if more.isEmpty():
+            break
+        roots, turn, before = _joined(roots, more), turn + 1, cost
+        drop_settled(met, more)
+    pairs = _open_pairs(met, shared, best, p)
+    more = _verified(pairs, single, p)
     if not more.isEmpty():
-        of = lambda c: near.withColumnsRenamed({"id": c, "root": f"r{c}"})
-        met = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        met = met.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
-        last = components(met)
-        known = near.unionByName(last.join(near, "id", "left_anti").select("id", F.col("id").alias("root")))
-        known = known.join(last.select(F.col("id").alias("root"), F.col("root").alias("end")), "root", "left")
-        roots = settled(known.select("id", F.coalesce("end", "root").alias("root")), "jaccard-roots")
+        roots = _joined(roots, more)
+    drop_settled(classes, shared, best, links, met, pairs, more)
 
     out = named.join(copies, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = out.join(roots.withColumnRenamed("id", "class_id"), "class_id", "left").select(
