@@ -94,3 +94,17 @@ def ranked(df: DataFrame, group: str, order: list[Column], spread: Column, name:
     inside = sliced.withColumn("_in", F.row_number().over(W.partitionBy(group, "_slice").orderBy(spread, *order)))
     joined = inside.join(before, (F.col(group) == F.col("_g")) & (F.col("_slice") == F.col("_s")))
     return joined.withColumn(name, F.col("_before") + F.col("_in") - 1).drop("_slice", "_g", "_s", "_before", "_in")
+
+
+def numbered_repeats(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds name: 0, 1, ... to the rows that share the 64-bit key, counted in slices; 0 to a row whose key is its own.
+
+    Which of the rows gets which number depends on the layout of the table, so they should be interchangeable.
+    """
+    again = compact(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key), "repeats")
+    n = again.count()
+    if not n:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    some = by_ids(df.withColumn("_mp_place", F.monotonically_increasing_id()), again, key, "left_semi", n)
+    some = ranked(settled(some, "repeats"), key, [F.col("_mp_place")], F.xxhash64("_mp_place"), name).drop("_mp_place")
+    return by_ids(df, again, key, "left_anti", n).withColumn(name, F.lit(0).cast("long")).unionByName(some)

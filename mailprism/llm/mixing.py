@@ -11,12 +11,14 @@ convex dual, sum(size / g * psi(lambda * g)) - lambda * target with psi' = min(m
 iteration is one distributed aggregate, and all sources step at once. It works on a histogram (source, size, documents),
 which is exact as rates depend on nothing else.
 
-Rates become copies: the whole part, plus one if a hash of doc_id, less the fraction, is under the source's threshold.
+Rates become copies: the whole part, plus one if a hash of the row, less the fraction, is under the source's threshold.
+The hash covers doc_id, source, the text and, for rows that agree in these, their number among them.
 A threshold of 0 rounds without bias; it is moved to the point where the words taken come nearest to the target, which
 two histograms of that difference find to within a document.
 
 Edge cases: a null text has size 0, and documents of size 0 have no copies. Null sources are one source, the last. Rows
-that repeat a doc_id are rounded alike. Extra columns pass through `mixed`, except names that begin with `_mp_`.
+that repeat a doc_id, null or not, are rounded one by one, so that their source comes near its target too; which of
+several equal rows is taken once more is open. A text of any length is counted whole. Extra columns pass through `mixed`, except names that begin with `_mp_`.
 An empty table, or one without a word, takes nothing.
 """
 
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import WORD, settled
+from .common import WORD, numbered_repeats, settled
 
 
 @dataclass(frozen=True)
@@ -39,12 +41,17 @@ class Mix:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, and the source as (_mp_s, _mp_null), which joins nulls too."""
+    """doc_id, source, size, the source as (_mp_s, _mp_null), which joins nulls too, and a hash of these and the text."""
+    source = F.col("source").cast("string")
+    rows = docs.select("doc_id", source.alias("source"), *_row_columns())
+    return numbered_repeats(rows, "_mp_h", "_mp_n")
+
+
+def _row_columns() -> list[Column]:
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     source = F.col("source").cast("string")
-    return docs.select("doc_id", source.alias("source"), n.alias("size")).select(
-        "*", F.coalesce("source", F.lit("")).alias("_mp_s"), F.col("source").isNull().alias("_mp_null")
-    )
+    h = F.xxhash64("doc_id", F.col("doc_id").isNull(), source, source.isNull(), "text")
+    return [n.alias("size"), F.coalesce(source, F.lit("")).alias("_mp_s"), source.isNull().alias("_mp_null"), h.alias("_mp_h")]
 
 
 def _numbered(sources: DataFrame) -> DataFrame:
@@ -131,7 +138,7 @@ def solve(histogram: DataFrame, sources: DataFrame, mix: Mix = Mix()) -> DataFra
 
 def _critical() -> Column:
     """The threshold from which on a document has one copy more than the whole part of its rate."""
-    u = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    u = F.shiftrightunsigned(F.xxhash64("_mp_h", "_mp_n"), 11) / F.lit(float(1 << 53))
     return u - (F.col("rate") - F.floor("rate"))
 
 
@@ -200,12 +207,9 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The rows of docs, each as many times as the mix takes it. Texts are not shuffled: sources are joined to them."""
     _, sources = plan(docs, mix)
-    n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    row = F.struct(*docs.columns)
-    wide = docs.select(
-        F.col("doc_id"), n.alias("size"), row.alias("_mp_row"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_mp_s"), F.col("source").isNull().alias("_mp_null"),
-    )
+    wide = docs.select(F.struct(*docs.columns).alias("_mp_row"), "doc_id", "source", "text")
+    wide = wide.select("_mp_row", *_row_columns())
+    wide = numbered_repeats(wide, "_mp_h", "_mp_n")
     met = wide.join(sources, ["_mp_s", "_mp_null"]).withColumn("rate", _rate(mix)).withColumn("copies", _copies(mix))
     repeated = met.withColumn("_mp_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select("_mp_row.*")

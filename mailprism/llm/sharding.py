@@ -2,7 +2,7 @@
 
 Law `rows`: n documents in k shards give each shard n / k rows, rounded down or, for the first n mod k shards, up.
 
-A document starts in the shard that a hash of its row names. In a round, each group of equal texts counts its members by
+A document starts in the shard that a hash of its row names; the layout of the table has no part in it. In a round, each group of equal texts counts its members by
 shard; the shard that holds most of it is its favourite. A group larger than a quota has as many favourites as hold it
 with the room they have. Members elsewhere apply to a favourite, and each shard admits applicants, those of the largest
 gain first, into its room under the quota and into the room that this round's departures free: `admitted` finds the
@@ -15,7 +15,7 @@ Everything is DataFrame joins and aggregates on (doc_id, size, hashes): texts ar
 counted in slices, so that no task holds a whole shard or group.
 
 Edge cases: a null text has no bytes and CRC 0, like an empty one; null and empty texts are no links. Rows that repeat
-a doc_id are placed one by one. Null doc_id are allowed. Extra columns are not read. Fewer rows than shards leave shards empty.
+a doc_id are placed one by one. Null doc_id are allowed. A text of any length is hashed whole. Extra columns are not read. Fewer rows than shards leave shards empty.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import ranked, settled
+from .common import numbered_repeats, ranked, settled
 
 
 @dataclass(frozen=True)
@@ -68,8 +68,11 @@ def admitted(counts: np.ndarray, room: np.ndarray) -> np.ndarray:
 def place(docs: DataFrame, p: Shards = Shards()) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of every row of docs."""
     k = p.count
-    rows = rows_of(docs, p).withColumn("row", F.xxhash64("doc_id", "h1", "size", F.monotonically_increasing_id()))
-    rows = settled(rows, "shard-rows")
+    own = ["doc_id", F.col("doc_id").isNull(), "h1", "text_crc32", "size"]
+    rows = numbered_repeats(rows_of(docs, p).withColumn("own", F.xxhash64(*own)), "own", "again")
+    # 128 bits that name a row whatever file or partition it lies in; equal rows are told apart by their number
+    key = F.struct(*[F.xxhash64(F.lit(i), *own, "again").alias(c) for i, c in enumerate("ab")])
+    rows = settled(rows.withColumn("row", key).drop("own", "again"), "shard-rows")
     group = ["h1", "text_crc32", "size"]
     linked = rows.filter(F.col("size") > p.overhead).groupBy(*group).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     linked = settled(linked.withColumn("g", F.xxhash64(*group)), "shard-groups")
