@@ -2,7 +2,8 @@
 
 A rule names a host, with all its subdomains, and a prefix of the path; the longest rule that fits decides. For all
 other urls the regression does. It is fitted on the driver to a small labelled table of urls, whose size is bounded by a
-parameter, and reaches the executors as one vector of weights.
+parameter, and reaches the executors as one vector of weights. The table is made by a rule: words of `url_words` alone and
+joined with others, and pronounceable names of random syllables, which stand for hosts that say nothing, as wanted.
 
 Edge cases: a null url, or one without `://`, has an empty host and path; no rule fits it and, having no n-gram, it is
 allowed. Repeated rows are judged one by one. Extra columns pass through
@@ -13,6 +14,7 @@ An url of any length is hashed whole.
 from __future__ import annotations
 
 import itertools
+import random
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .url_words import EITHER, UNWANTED, WANTED
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -73,28 +77,29 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
     return chosen
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table (url, 1 for block), made by a rule from words that unwanted and wanted hosts carry."""
-    bad = (
-        "casino win bets free-bets poker slots jackpot lottery cheap-pills pharma viagra replica adult-x porn xxx sexy "
-        "dating escort spam-farm link-farm seo-links backlinks ads-track tracker clicks adserver popunder malware warez "
-        "torrent crack-keys keygen get-rich quick-loan payday crypto-double free-money prize gift-cards miracle diet-pill"
-    ).split()
-    good = (
-        "news library university school museum history science weather recipes garden music travel health-service city "
-        "council archive journal research books poetry sports theatre cooking language nature physics chemistry maths "
-        "forum wiki docs code kernel compiler database network hospital market railway theriver thestone thanother "
-        "therein nation mention eauou quement schule verein keit stadt haus ciudad raque noche puente pays ville gare"
-    ).split()
-    tlds, paths = ("com", "net", "org", "io"), ("/", "/en/12", "/fr/345.html", "/de/7/", "/es/88", "/index.html", "/a/b")
-    subs = ("", "www.", "m.", "blog.")
-    out = []
-    for label, names in ((1, bad), (0, good)):
-        for i, name in enumerate(names):
-            for j in range(6):
-                k = i * 6 + j
-                middle = "example." if k % 2 else ""
-                out.append((f"http://{subs[k % 4]}{name}.{middle}{tlds[k // 2 % 4]}{paths[k % 7]}", label))
+def labelled_names() -> list[tuple[str, str, int]]:
+    """(name, word it is made of, 1 for unwanted), in a fixed order."""
+    draw, out = random.Random(5), []
+    for label, words in ((1, UNWANTED.split()), (0, WANTED.split())):
+        for word in words:
+            out.append((word, word, label))
+            for either in draw.sample(EITHER, 8 if label else 4):
+                joint = draw.choice(("", "-"))
+                out.append((draw.choice((f"{either}{joint}{word}", f"{word}{joint}{either}")), word, label))
+    for _ in range(400):
+        word = "".join(draw.choice("bcdfghjklmnprstvwz") + draw.choice("aeiou") + draw.choice(["", "", "n", "r", "s", "l"]) for _ in range(draw.randint(2, 4)))
+        out.append((word, word, 0))
+    return out
+
+
+def labelled_urls(names: list[tuple[str, str, int]] | None = None) -> list[tuple[str, int]]:
+    """The small labelled table (url, 1 for block): each name under two endings, with and without what either kind has."""
+    draw, out = random.Random(6), []
+    for name, _, label in labelled_names() if names is None else names:
+        for _ in range(2):
+            host = draw.choice(("", "www.", "m.", "blog.")) + name + draw.choice(("", "", ".example")) + draw.choice((".com", ".net", ".org", ".io"))
+            path = draw.choice(("/", "/en/", "/de/", "/es/", "/fr/", "/a/b/", "/index.html")) + draw.choice(("", str(draw.randint(1, 9999))))
+            out.append((f"http://{host}{path}", label))
     return out
 
 
@@ -139,12 +144,13 @@ def judge(pages: DataFrame, model: tuple[np.ndarray, float], rules: tuple[Rule,
     def probability(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         w, b = shared.value
         for hosts, paths in batches:
-            out = np.zeros(len(hosts))
-            for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
+            codes, seen = pd.factorize(pd.MultiIndex.from_arrays([hosts, paths]))
+            out = np.zeros(len(seen))
+            for i, (host, path) in enumerate(seen):
                 slots = grams(host, path, m)
                 if slots:
                     out[i] = 1 / (1 + np.exp(-(w[slots].sum() / np.sqrt(len(slots)) + b)))
-            yield pd.Series(out)
+            yield pd.Series(out[codes])
 
     host, path = host_and_path(F.col("url"))
     df = pages.select(*pages.columns, host.alias("_mp_host"), path.alias("_mp_path"))
