@@ -4,8 +4,11 @@ Centroids are fitted to a bounded sample by k-means whose clusters are split whi
 even. A navigable graph over the centroids is searched from fixed entry points by best-first expansion, many vectors at a
 time. Every vector goes to its nearest centroid and, if it lies near a boundary, to further ones: those hardly farther
 than the nearest, unless a centroid already chosen is nearer to them than the vector is. A query reads the lists whose
-centroids are within a ratio of the nearest one's distance. Candidates are scored in double precision on the original
-vectors; ties go to the smaller vec_id.
+centroids are within a ratio of the nearest one's distance, up to a number of them. Ratio and number are not guessed: a
+bounded set of vectors is searched by brute force first, and both are set so that this share of their true neighbours is
+found. On clustered vectors that is a few lists; vectors without structure need a large share of the table, whatever the
+index. Lists carry the vectors in the precision of the table; candidates are scored in double precision; ties go to the
+smaller vec_id.
 
 Lists that hold many vectors, such as copies of one, are dealt out in segments, and so are many queries of one list, so
 that no task holds an unbounded list. A query that finds fewer than k candidates is answered by a scan of all lists.
@@ -18,7 +21,7 @@ part. Extra columns are not read. An empty table, or one vector, gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -30,15 +33,17 @@ from .common import settled
 
 @dataclass(frozen=True)
 class Index:
-    sample: int = 20_000  # vectors that centroids are fitted to, at most
+    sample: int = 65_536  # vectors that centroids are fitted to, at most
     list_size: int = 100  # vectors a list, aimed at
-    most_lists: int = 4_096  # bound of the centroids, which every executor holds
+    most_lists: int = 16_384  # bound of the centroids, which every executor holds; beyond it lists grow with the table
     degree: int = 24  # of the graph
     beam: int = 96  # centroids kept while searching
     replicas: int = 4
     boundary: float = 1.15  # a vector joins lists up to this multiple of its nearest distance
     probes: int = 48  # lists a query reads at most
-    pruning: float = 1.35  # and only up to this multiple of its nearest distance
+    pruning: float = 1.35  # and, after the first four, only up to this multiple of its nearest distance
+    calibration: int = 128  # vectors searched by brute force, to set the last two
+    recall: float = 0.97  # of each of the two on those vectors
     segment: int = 2_048  # vectors, or queries, of a list in a task
 
 
@@ -77,7 +82,7 @@ def fit(sample: np.ndarray, n: int, p: Index, seed: int = 7) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
+    return np.concatenate([(x[i : i + 512] @ c.T).argmax(1) for i in range(0, len(x), 512)])
 
 
 class Graph:
@@ -88,11 +93,11 @@ class Graph:
         k = len(c)
         rng = np.random.default_rng(seed)
         links = np.zeros((k, min(p.degree, max(1, k - 1)) + 2), np.int64)
-        for at in range(0, k, 1024):
-            sims = c[at : at + 1024] @ c.T
+        for at in range(0, k, 512):
+            sims = c[at : at + 512] @ c.T
             sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -2
             near = np.argsort(-sims, axis=1, kind="stable")[:, : links.shape[1] - 2]
-            links[at : at + 1024, : near.shape[1]] = near if k > 1 else 0
+            links[at : at + 512, : near.shape[1]] = near if k > 1 else 0
         links[:, -2:] = rng.integers(0, k, (k, 2))
         self.links = links
         self.entries = rng.choice(k, min(k, max(8, int(np.sqrt(k)))), replace=False)
@@ -158,12 +163,14 @@ def probes_of(graph: Graph, x: np.ndarray) -> list[np.ndarray]:
     ids, sims = graph.search(x, graph.p.probes)
     far = _distance(sims)
     near = (far <= graph.p.pruning * far[:, :1] + 1e-12) & (ids >= 0)
+    near[:, :4] |= ids[:, :4] >= 0
     return [np.unique(ids[i][near[i]]) for i in range(len(x))]
 
 
 def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, v) of the vectors that take part, v in doubles; the length is that of most."""
-    v = F.col(vector).cast("array<double>")
+    """(vec_id, v) of the vectors that take part, v as floats if the table has those, else doubles; the length of most."""
+    kind = "array<float>" if dict(df.dtypes)[vector] == "array<float>" else "array<double>"
+    v = F.col(vector).cast(kind)
     rows = df.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.filter(~bad & F.exists("v", lambda x: x != 0))
@@ -171,6 +178,50 @@ def _vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.filter(F.size("v") == (lengths[0]["d"] if lengths else 0))
 
 
+def _stack(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_numpy()).astype(np.float64)
+
+
+def calibrated(rows: DataFrame, centroids: np.ndarray, p: Index, k: int) -> Index:
+    """p with the probes and the pruning ratio under which the index finds the true neighbours of some vectors.
+
+    Those neighbours come from brute force: a bounded number of queries against all rows, in one pass.
+    """
+    asked = rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(p.calibration).toPandas()
+    q, names = _stack(asked["v"]), asked["vec_id"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast((q, names))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, names = shared.value
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                some = batch.iloc[at : at + 1024]
+                scores = _scores(q, _stack(some["v"]))
+                scores[names[:, None] == some["vec_id"].to_numpy()] = -2
+                near = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({
+                    "q": np.repeat(np.arange(len(q)), near.shape[1]), "score": np.take_along_axis(scores, near, 1).ravel(),
+                    "vec_id": some["vec_id"].to_numpy()[near.ravel()], "v": some["v"].to_numpy()[near.ravel()],
+                })
+
+    found = rows.mapInPandas(part, f"q int, score double, vec_id long, v {dict(rows.dtypes)['v']}")
+    best = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    found = found.withColumn("r", best).filter((F.col("r") <= k) & (F.col("score") > -2)).select("q", "v").toPandas()
+    if found.empty:
+        return p
+    graph = Graph(centroids, p)
+    far = _distance(_unit(q) @ centroids.T)
+    ranks = np.argsort(np.argsort(far, axis=1, kind="stable"), axis=1, kind="stable")
+    least = far.min(1)
+    needed, ratios = [], []
+    for i, lists in zip(found["q"], lists_of(graph, _unit(_stack(found["v"])))):
+        needed.append(int(ranks[i, lists].min()) + 1)
+        if needed[-1] > 4:
+            ratios.append(float(far[i, lists].min() / max(least[i], 1e-9)))
+    at = lambda x: float(np.quantile(x, p.recall, method="higher")) if len(x) else 1.0
+    return replace(p, probes=max(4, int(at(needed))), pruning=at(ratios))
+
+
 def _assigned(rows: DataFrame, centroids, key: str, p: Index, how) -> DataFrame:
     """(list, vec_id, v): rows once for each list that `how` gives."""
 
@@ -179,12 +230,12 @@ def _assigned(rows: DataFrame, centroids, key: str, p: Index, how) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 some = batch.iloc[at : at + 512]
-                lists = how(graph, _unit(np.stack(some["v"].to_numpy())))
+                lists = how(graph, _unit(_stack(some["v"])))
                 n = [len(x) for x in lists]
                 out = some.loc[some.index.repeat(n)]
                 yield pd.DataFrame({"list": np.concatenate(lists), "vec_id": out["vec_id"].array, "v": out["v"].array})
 
-    return rows.mapInPandas(part, "list long, vec_id long, v array<double>")
+    return rows.mapInPandas(part, f"list long, vec_id long, v {dict(rows.dtypes)['v']}")
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -196,10 +247,10 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _best(key: tuple, queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
     out = []
     if len(queries) and len(vectors):
-        x, ids = np.stack(vectors["v"].to_numpy()), vectors["vec_id"].to_numpy()
+        x, ids = _stack(vectors["v"]), vectors["vec_id"].to_numpy()
         for at in range(0, len(queries), 64):
             some = queries.iloc[at : at + 64]
-            scores = _scores(np.stack(some["v"].to_numpy()), x)
+            scores = _scores(_stack(some["v"]), x)
             for i, query in enumerate(some["vec_id"].to_numpy()):
                 s = np.where(ids == query, -np.inf, scores[i])
                 # all that may be among the k nearest, ties included; a vec_id can occur more than once
@@ -254,7 +305,8 @@ def search(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).select("v").toPandas()["v"]
     if not len(chosen):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    centroids = fit(np.stack(chosen.to_numpy()), n, p)
+    centroids = fit(_stack(chosen), n, p)
+    p = calibrated(rows, centroids, p, k)
     shared = spark.sparkContext.broadcast(centroids)
     name = f"{id(shared)}-{len(centroids)}-{float(centroids.sum())!r}"
     postings = settled(_assigned(rows, shared, name, p, lists_of), "ann-postings")
