@@ -4,12 +4,14 @@ Each record is a gzip member of its own. Of pages with equal payloads the one wi
 response; the others are revisits, which carry the HTTP header with the payload's length and digest but not the payload.
 
 The reader walks an archive member by member and checks each: gzip checksum, version line, Content-Length, block digest.
-Where a check fails it goes on to the next place that looks like a gzip member or, in plain archives, a version line;
-the bytes between two records that passed are one quarantined gap, logged with its reason. Later records are recovered.
+Where a check fails but the headers of a plain record are whole, it goes on at the end that Content-Length names, if a
+record that passes or the end of the archive is there; else at the next place that looks like a gzip member or a version
+line. The bytes between two records that passed are one quarantined gap, logged with its reason in the same pass. Later
+records are recovered; one that was found by search, and so may be the payload of the damaged one, is marked `searched`.
 
 Edge cases: a null html is an empty payload. A null page_id is written without a number and read back as null; it is a
 revisit if a page with a number has its payload, else a response. Rows that repeat the largest page_id of a payload are
-all responses. A null url has no target line; control characters in urls are percent-encoded. Extra columns are not
+all responses. A payload of any size is one record, held whole. A null url has no target line; control characters in urls are percent-encoded. Extra columns are not
 read. No page gives no archive.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fresh_path, settled
+from .common import BROADCAST_IDS, fresh_path, settled
 from .tokenfile import file_system
 
 VERSION = b"WARC/1.1\r\n"
@@ -83,6 +86,7 @@ class Record:
     end: int
     headers: dict[str, str]
     block: bytes
+    searched: bool = False
 
 
 @dataclass
@@ -93,23 +97,42 @@ class Salvage:
     gaps: list[tuple[int, int, str]] = field(default_factory=list)
 
     def __iter__(self) -> Iterator[Record]:
-        at, bad, why, data = 0, None, "", self.data
+        at, bad, why, named, data = 0, None, "", None, self.data
         while at < len(data):
-            found, reason = self._gzip(at) if data.startswith(MEMBER, at) else self._plain(at)
+            found, reason = self._at(at)
             if found is not None:
                 if bad is not None:
                     self.gaps.append((bad, at, why))
+                    found.searched = at != named
                     bad = None
                 yield found
                 at = found.end
                 continue
             if bad is None:
                 bad, why = at, reason
+                named = self._end(at)  # what the damaged record's own headers say
+                if named is not None and (named == len(data) or self._at(named)[0] is not None):
+                    at = named
+                    continue
+                named = None
             places = [x for x in (data.find(MEMBER, at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
             at = min(places, default=len(data))
         if bad is not None:
             self.gaps.append((bad, len(data), why))
 
+    def _at(self, at: int) -> tuple[Record | None, str]:
+        return self._gzip(at) if self.data.startswith(MEMBER, at) else self._plain(at)
+
+    def _end(self, at: int) -> int | None:
+        """Where a plain record ends by its headers, if these are whole and name a place in the archive."""
+        if not self.data.startswith(b"WARC/1.", at) or (split := self.data.find(b"\r\n\r\n", at)) < 0:
+            return None
+        lengths = [x.split(b":")[1].strip() for x in self.data[at:split].split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        if len(lengths) != 1 or not lengths[0].isdigit():
+            return None
+        end = split + 8 + int(lengths[0])
+        return end if end <= len(self.data) else None
+
     def _gzip(self, at: int) -> tuple[Record | None, str]:
         z = zlib.decompressobj(31)
         parts, step = [], 1 << 16
@@ -126,12 +149,9 @@ class Salvage:
     def _plain(self, at: int) -> tuple[Record | None, str]:
         if not self.data.startswith(b"WARC/1.", at):
             return None, "no version line"
-        split = self.data.find(b"\r\n\r\n", at)
-        head = self.data[at : split + 4] if split >= 0 else b""
-        length = next((x.split(b":")[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
-        if not length.strip().isdigit():
-            return None, "no Content-Length"
-        end = split + 8 + int(length)
+        end = self._end(at)
+        if end is None:
+            return None, "headers or Content-Length do not name an end"
         return self._parsed(self.data[at:end], at, end)
 
     def _parsed(self, data: bytes, at: int, end: int) -> tuple[Record | None, str]:
@@ -154,8 +174,8 @@ class Salvage:
 def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, sha1 (hex), refers_to (null for responses) and revisit.
 
-    Only digests that occur more than once are joined back, by (digest); a broadcast happens where Spark measures that
-    side as small, a split of skewed digests where it does not.
+    Only digests that occur more than once are joined back: broadcast if they were counted as few (some 60 bytes each),
+    else by a shuffle, in which adaptive execution splits a digest that many pages share.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
@@ -163,7 +183,9 @@ def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     big = keyed.filter(F.octet_length("payload") >= min_bytes)
     twice = big.groupBy("sha1").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     twice = settled(twice, "warc-responses")
-    met = keyed.join(twice, "sha1", "left")
+    # roles are decided on narrow rows: payloads are not shuffled to them unless digests repeat beyond a broadcast
+    few = twice.count() <= BROADCAST_IDS // 16
+    met = keyed.join(F.broadcast(twice) if few else twice, "sha1", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= min_bytes)
     return met.select("page_id", "url", "payload", "sha1", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -214,49 +236,49 @@ def write(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = 64 << 20) -
     return settled(rows.mapInPandas(write_part, MANIFEST), "warc-manifest")
 
 
-RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, searched boolean"
 GAPS = "path string, first long, last long, reason string"
 
 
-def _each(manifest: DataFrame, made, schema: str) -> DataFrame:
+def salvage(manifest: DataFrame) -> DataFrame:
+    """A row for each record that passes the checks and, in the same pass, for each quarantined range of bytes (reason set)."""
+
     def read_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
                 fs, name = file_system(path)
                 with fs.open_input_file(name) as f:
-                    yield from made(path, Salvage(f.read()))  # an archive is written with a bound on its size
-
+                    archive = Salvage(f.read())  # an archive is written with a bound on its size
+                rows = []
+                for r in archive:
+                    h = r.headers
+                    head, _, payload = r.block.partition(b"\r\n\r\n")
+                    revisit = h.get("warc-type") == "revisit"
+                    sizes = [x.split(b":")[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+                    rows.append((
+                        _number(h.get("warc-record-id", "")), int(sizes[0]) if revisit and sizes else len(payload),
+                        h.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else digest(payload), h.get("warc-type"),
+                        _number(h.get("warc-refers-to", "")) if revisit else None, r.searched, None, None, None, None,
+                    ))
+                rows += [(None, None, None, None, None, None, path, *gap) for gap in archive.gaps]
+                out = pd.DataFrame(rows, columns=names, dtype=object)
+                yield out.astype({c: kind for c, kind in zip(names, kinds, strict=True) if kind == "Int64"})
+
+    fields = [x.split() for x in f"{RECORDS}, {GAPS}".split(", ")]
+    names, kinds = [x[0] for x in fields], ["Int64" if x[1] == "long" else "object" for x in fields]
     n = max(1, min(manifest.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism))
-    return manifest.select("path").repartition(n).mapInPandas(read_part, schema)
+    return manifest.select("path").repartition(n).mapInPandas(read_part, f"{RECORDS}, {GAPS}")
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """A row for each record that passes the checks."""
-
-    def made(path: str, archive: Salvage) -> Iterator[pd.DataFrame]:
-        rows = []
-        for r in archive:
-            h = r.headers
-            head, _, payload = r.block.partition(b"\r\n\r\n")
-            revisit = h.get("warc-type") == "revisit"
-            sizes = [x.split(b":")[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-            rows.append((
-                _number(h.get("warc-record-id", "")), int(sizes[0]) if revisit and sizes else len(payload),
-                h.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else digest(payload), h.get("warc-type"),
-                _number(h.get("warc-refers-to", "")) if revisit else None,
-            ))
-        out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORDS.split(", ")])
-        yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    return _each(manifest, made, RECORDS)
+    """The records, once all archives are read; gaps are logged, by archive."""
+    found = settled(salvage(manifest), "warc-records")
+    lost = found.filter("reason is not null").groupBy("path").agg(F.count(F.lit(1)).alias("gaps"), F.sum(F.col("last") - F.col("first")).alias("bytes"))
+    for x in lost.orderBy(F.desc("bytes"), "path").limit(20).collect():  # the largest; gaps() has all
+        logging.getLogger(__name__).warning("%s: %d gaps, %d bytes", x["path"], x["gaps"], x["bytes"])
+    return found.filter("reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def gaps(manifest: DataFrame) -> DataFrame:
-    """A row for each quarantined range of bytes."""
-
-    def made(path: str, archive: Salvage) -> Iterator[pd.DataFrame]:
-        for _ in archive:
-            pass
-        yield pd.DataFrame([(path, *g) for g in archive.gaps], columns=["path", "first", "last", "reason"])
-
-    return _each(manifest, made, GAPS)
+    """path, first, last (excluded) and reason of each quarantined range of bytes."""
+    return salvage(manifest).filter("reason is not null").select("path", "first", "last", "reason")
