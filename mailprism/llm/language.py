@@ -6,10 +6,12 @@ words. Piece probabilities are fitted by expectation maximisation on the words o
 forward-backward counts of all segmentations; the vocabulary itself is never trained.
 
 A word is a run of letters, lower-cased, with the vocabulary's word mark before it. Pieces of one letter that the
-vocabulary lacks share one probability. `score` is the posterior of the predicted language for `evidence` letters at
-the text's mean log-likelihood a letter, under equal priors, so that it does not saturate with length.
+vocabulary lacks share one probability. No piece of lower-case letters and no word is left out, however long. `score` is
+the posterior of the predicted language for `evidence` letters at the text's mean log-likelihood a letter, under equal
+priors, so that it does not saturate with length.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0. Without any labelled row every text is `und`.
+Of languages that tie the first by name is predicted. A text is scored whole; 8 MB of texts, or one longer text, at once.
 Repeated rows are judged one by one. Languages are the non-null values of lang in the sample. lang, source and doc_id
 are no inputs of a prediction. Extra columns pass through `identify`; one with the name of a result gives way to it.
 """
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .columns import coded_words, few_mb, worker_cache
+from .common import BROADCAST_IDS, compact
 
 MARK = "▁"
 RUN = re.compile(r"[^\W\d_]+")
@@ -38,19 +41,19 @@ class LanguageModel:
     """Production parameters of the fit."""
 
     rows: int = 300  # labelled documents a language at most
+    words: int = 200_000  # distinct words a language that the fit takes from them at most, the most frequent ones
     rounds: int = 3  # of expectation maximisation
     prior: float = 0.01  # pseudo-count of each piece
-    longest_piece: int = 10
     evidence: float = 30.0  # letters
 
 
-def read_pieces(path: str, longest: int) -> list[str]:
+def read_pieces(path: str) -> list[str]:
     """The pieces of lower-case letters, with or without the word mark, in the order of the vocabulary."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return [p for p in found if len(p) <= longest and (p == MARK or (x := p.removeprefix(MARK)).isalpha() and x == x.lower())]
+    return [p for p in found if p == MARK or (x := p.removeprefix(MARK)).isalpha() and x == x.lower()]
 
 
 def runs_of(token: str) -> list[str]:
@@ -60,85 +63,99 @@ def runs_of(token: str) -> list[str]:
 
 
 class Lattice:
-    """All segmentations of words, as arrays: words of one length at a time."""
-
-    def __init__(self, pieces: list[str], longest: int) -> None:
-        self.ids = {p: i for i, p in enumerate(pieces)}
-        self.unknown, self.none = len(pieces), len(pieces) + 1
-        self.longest = longest
-
-    def edges(self, words: list[str]) -> np.ndarray:
-        """[word, start, length - 1]: the piece there, or `none`. All words have one length."""
-        n, get, none = len(words[0]), self.ids.get, self.none
-        top = min(n, self.longest)
-        out = np.full((len(words), n, top), none, np.int32)
-        for w, word in enumerate(words):
-            out[w] = [
-                [get(word[i : i + size], none) if i + size <= n else none for size in range(1, top + 1)] for i in range(n)
-            ]
-        single = out[:, :, 0]
-        single[single == none] = self.unknown
+    """All segmentations of words, as arrays of edges: words of one length at a time.
+
+    An edge is a piece at a place of a word. Between any two letters that follow each other there is one, for letters that
+    the vocabulary lacks that of `unknown`; so each place of each word has an edge that ends there and one that starts.
+    """
+
+    SAFE = 24  # letters up to which no product of probabilities underflows
+
+    def __init__(self, pieces: list[str]) -> None:
+        self.unknown, self.longest = len(pieces), max(map(len, pieces), default=1)
+        self.ids: dict[str, int] = {p[:i]: -1 for p in pieces for i in range(1, len(p))}  # beginnings of pieces
+        self.ids.update((p, i) for i, p in enumerate(pieces))
+
+    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(end, word, start, piece) of all edges, sorted by these. All words have one length."""
+        n, w, get, unknown, longest, v = len(words[0]), len(words), self.ids.get, self.unknown, self.longest, self.unknown + 1
+        found: list[int] = []
+        add = found.append
+        for k, word in enumerate(words):
+            for i in range(n):
+                x = get(word[i], -1)
+                add((((i + 1) * w + k) * n + i) * v + (x if x >= 0 else unknown))
+                for j in range(i + 2, min(n, i + longest) + 1):
+                    x = get(word[i:j])
+                    if x is None:
+                        break
+                    if x >= 0:
+                        add(((j * w + k) * n + i) * v + x)
+        code = np.sort(np.array(found, dtype=np.int64))
+        code, piece = np.divmod(code, v)
+        code, start = np.divmod(code, n)
+        end, word = np.divmod(code, w)
+        return end, word, start, piece
+
+    @staticmethod
+    def _runs(outer: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """For sorted pairs: bounds of the runs of equal `outer`, and in each the places where `inner` changes."""
+        cuts = np.flatnonzero(np.diff(outer)) + 1
+        bounds = np.concatenate([[0], cuts, [len(outer)]])
+        return bounds, [np.flatnonzero(np.diff(inner[a:b], prepend=-1)) for a, b in zip(bounds, bounds[1:])]
+
+    def forward(self, words: list[str], p: np.ndarray) -> np.ndarray:
+        """[word, language]: log-likelihoods."""
+        end, word, start, piece = self.edges(words)
+        n = len(words[0])
+        if n > self.SAFE:
+            return self._logs(end, word, start, p[piece], n, len(words))[:, n]
+        alpha = np.zeros((n + 1, len(words), p.shape[1]))
+        alpha[0] = 1
+        bounds, firsts = self._runs(end, word)
+        for e, (a, b, at) in enumerate(zip(bounds, bounds[1:], firsts), 1):
+            alpha[e] = np.add.reduceat(alpha[start[a:b], word[a:b]] * p[piece[a:b]], at, axis=0)
+        return np.log(alpha[n])
+
+    def _logs(self, end: np.ndarray, word: np.ndarray, start: np.ndarray, weight: np.ndarray, n: int, words: int) -> np.ndarray:
+        """[word, end, language]: logs of the sums over all ways up to each end, each scaled by the end before."""
+        out = np.zeros((words, n + 1, weight.shape[1]))
+        bounds, firsts = self._runs(end, word)
+        for e, (a, b, at) in enumerate(zip(bounds, bounds[1:], firsts), 1):
+            w = word[a:b]
+            got = np.exp(out[w, start[a:b]] - out[w, e - 1]) * weight[a:b]
+            out[:, e] = out[:, e - 1] + np.log(np.add.reduceat(got, at, axis=0))
         return out
 
-    def forward(self, edges: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(alpha[word, end, language], log scale): alpha is rescaled at each end, its last row is 1."""
-        words, n, top = edges.shape
-        alpha = np.zeros((words, n + 1, p.shape[1]))
-        alpha[:, 0] = 1
-        log = np.zeros((words, p.shape[1]))
-        for end in range(1, n + 1):
-            total = np.zeros((words, p.shape[1]))
-            for size in range(1, min(end, top) + 1):
-                total += alpha[:, end - size] * p[edges[:, end - size, size - 1]]
-            log += np.log(total)
-            # earlier ends are rescaled too, as far back as a piece can reach
-            back = max(0, end - top + 1)
-            alpha[:, back:end] /= total[:, None]
-            alpha[:, end] = 1
-        return alpha, log
-
-    def log_likelihood(self, words: list[str], p: np.ndarray, batch: int = 4096) -> np.ndarray:
-        """[word, language]."""
-        out = np.zeros((len(words), p.shape[1]))
+    @staticmethod
+    def _by_length(words: list[str], letters: int) -> Iterator[tuple[list[int], list[str]]]:
         by_length = defaultdict(list)
         for i, word in enumerate(words):
             by_length[len(word)].append(i)
         for length, rows in by_length.items():
-            each = max(1, batch * 16 // length)
+            each = max(1, letters // length)
             for at in range(0, len(rows), each):
-                some = rows[at : at + each]
-                out[some] = self.forward(self.edges([words[i] for i in some]), p)[1]
+                yield rows[at : at + each], [words[i] for i in rows[at : at + each]]
+
+    def log_likelihood(self, words: list[str], p: np.ndarray) -> np.ndarray:
+        """[word, language]."""
+        out = np.zeros((len(words), p.shape[1]))
+        for rows, some in self._by_length(words, 1 << 15):
+            out[rows] = self.forward(some, p)
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected piece counts [piece, language], over all segmentations; counts[word, language]."""
         out = np.zeros_like(p)
-        by_length = defaultdict(list)
-        for i, word in enumerate(words):
-            by_length[len(word)].append(i)
-        for length, rows in by_length.items():
-            if length > 40:  # unscaled below; so long a word teaches nothing
-                continue
-            for at in range(0, len(rows), 4096):
-                some = rows[at : at + 4096]
-                edges, c = self.edges([words[i] for i in some]), counts[some]
-                n, top = edges.shape[1:]
-                alpha = np.zeros((len(some), n + 1, p.shape[1]))
-                beta = np.zeros_like(alpha)
-                alpha[:, 0] = beta[:, n] = 1
-                for end in range(1, n + 1):
-                    for size in range(1, min(end, top) + 1):
-                        alpha[:, end] += alpha[:, end - size] * p[edges[:, end - size, size - 1]]
-                for start in range(n - 1, -1, -1):
-                    for size in range(1, min(n - start, top) + 1):
-                        beta[:, start] += beta[:, start + size] * p[edges[:, start, size - 1]]
-                share = c / np.maximum(alpha[:, n], 1e-300)
-                for start in range(n):
-                    for size in range(1, min(n - start, top) + 1):
-                        e = edges[:, start, size - 1]
-                        got = alpha[:, start] * p[e] * beta[:, start + size] * share
-                        for k in range(p.shape[1]):
-                            out[:, k] += np.bincount(e, got[:, k], len(p))
+        for rows, some in self._by_length(words, 1 << 15):
+            end, word, start, piece = self.edges(some)
+            n, weight = len(some[0]), p[piece]
+            alpha = self._logs(end, word, start, weight, n, len(some))
+            back = np.lexsort((word, n - start))  # the same from the other end, where a start at i is an end at n - i
+            beta = self._logs(n - start[back], word[back], n - end[back], weight[back], n, len(some))
+            got = np.exp(alpha[word, start] + beta[word, n - end] - alpha[word, n]) * weight * counts[rows][word]
+            for k in range(p.shape[1]):
+                out[:, k] += np.bincount(piece, got[:, k], len(p))
         return out
 
 
@@ -150,7 +167,9 @@ def fit(labelled: DataFrame, vocabulary: str, m: LanguageModel = LanguageModel()
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     some = labelled.select("doc_id", "lang").filter("lang is not null and text is not null")
     some = some.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= m.rows).select("doc_id", "lang").distinct()
-    sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(some), ["doc_id", "lang"], "left_semi")
+    some = compact(some, "language-sample")
+    sample = labelled.select("doc_id", "lang", "text")
+    sample = sample.join(F.broadcast(some) if some.count() <= BROADCAST_IDS else some, ["doc_id", "lang"], "left_semi")
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -161,19 +180,18 @@ def fit(labelled: DataFrame, vocabulary: str, m: LanguageModel = LanguageModel()
             yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "word", "n"])
 
     counted = sample.mapInPandas(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = counted.toPandas()  # bounded by the sample
-    pieces = read_pieces(vocabulary, m.longest_piece)
+    frequent = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    rows = counted.withColumn("r", frequent).filter(F.col("r") <= m.words).drop("r").toPandas()  # bounded a language
+    pieces = read_pieces(vocabulary)
     if rows.empty:
-        return [], pieces, np.zeros((len(pieces) + 2, 0))
+        return [], pieces, np.zeros((len(pieces) + 1, 0))
     languages = sorted(rows["lang"].unique())
     table = rows.pivot_table(index="word", columns="lang", values="n", fill_value=0, aggfunc="sum")[languages]
-    lattice = Lattice(pieces, m.longest_piece)
-    p = np.full((len(pieces) + 2, len(languages)), 1.0 / (len(pieces) + 1))
-    p[lattice.none] = 0
+    lattice = Lattice(pieces)
+    p = np.full((len(pieces) + 1, len(languages)), 1.0 / (len(pieces) + 1))
     names, counts = table.index.tolist(), table.to_numpy(dtype=np.float64)
     for _ in range(m.rounds):
         p = lattice.expected(names, counts, p) + m.prior
-        p[lattice.none] = 0
         p /= p.sum(0)
     return languages, pieces, p
 
@@ -181,8 +199,8 @@ def fit(labelled: DataFrame, vocabulary: str, m: LanguageModel = LanguageModel()
 class Scorer:
     """Log-likelihoods of tokens between white space, kept in two generations of bounded size."""
 
-    def __init__(self, pieces: list[str], p: np.ndarray, longest: int, most: int = 250_000) -> None:
-        self.lattice, self.p, self.most = Lattice(pieces, longest), p, most
+    def __init__(self, pieces: list[str], p: np.ndarray, most: int = 150_000) -> None:
+        self.lattice, self.p, self.most = Lattice(pieces), p, most
         self.rows: dict[str, int] = {}
         self.table = np.zeros((0, p.shape[1] + 1), np.float32)
         self.older: tuple[dict[str, int], np.ndarray] = {}, self.table
@@ -230,10 +248,10 @@ def identify(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], m:
     if not languages:
         return docs.withColumns({names[0]: F.lit("und"), names[1]: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast((pieces, p))  # vocabulary times languages
-    key, evidence, longest = uuid.uuid4().hex, m.evidence, m.longest_piece
+    key, evidence = uuid.uuid4().hex, m.evidence
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = worker_cache(key, lambda: Scorer(*shared.value, longest))
+        scorer = worker_cache(key, lambda: Scorer(*shared.value))
         for whole in batches:
             for batch in few_mb(whole):
                 sums = scorer.score(batch.column("text"))
