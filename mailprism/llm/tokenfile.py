@@ -6,18 +6,22 @@ A file is
     three sections that follow;
     the ids; the Elias-Fano code of the documents + 1 boundaries; the Elias-Fano code of doc_id - smallest.
 An Elias-Fano code of n values up to u takes about 2 + log2(u / n) bits a value: the low bits packed, the high bits in
-unary, and the position of every 256th one as a sample for select.
+unary, and, stored with them, the position of every 256th one as a sample for select. Readers find offsets by select;
+no list of all of them is made.
 
 Shards are written in ascending doc_id order by range partitions, so that the ids before a document are those of the
 shards before it plus its boundary. A shard is written under another name and renamed: a task that is run twice leaves
 one whole file.
 
 Edge cases: a null or empty text has the end id alone. Rows without doc_id come first and keep their texts. Rows that
-repeat a doc_id follow each other, ordered by text. Extra columns are not read. No document gives no shard.
+repeat a doc_id follow each other, ordered by text; many of them are parted by the first letters of their texts. A text
+of any length is encoded whole, a few MB of texts or one longer text at a time. The strings of special tokens in a text
+become their ids, as is the library's default. Extra columns are not read. No document gives no shard.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -42,34 +46,35 @@ SAMPLE = 256
 class EliasFano:
     """A non-decreasing sequence of unsigned integers in near-minimal space, with access to any one of them."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> None:
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray) -> None:
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.flatnonzero(np.unpackbits(high, bitorder="little"))[::SAMPLE] if n else np.zeros(0, np.int64)
-        self.samples = ones  # positions of every SAMPLE-th one
+        self.samples = samples  # positions of every SAMPLE-th one
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, dtype=np.uint64)
         n = len(values)
         if not n:
-            return cls(0, 0, np.zeros(0, np.uint8), np.zeros(0, np.uint8))
+            return cls(0, 0, np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.uint64))
         ratio = int(values[-1]) // n
         k = max(0, ratio.bit_length() - 1)
         bits = (values[:, None] >> np.arange(k, dtype=np.uint64)) & np.uint64(1) if k else np.zeros((n, 0), np.uint64)
         low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
-        high_part = (values >> np.uint64(k)).astype(np.int64)
-        unary = np.zeros(int(high_part[-1]) + n, np.uint8)
-        unary[high_part + np.arange(n)] = 1
-        return cls(n, k, low, np.packbits(unary, bitorder="little"))
+        ones = (values >> np.uint64(k)).astype(np.int64) + np.arange(n)
+        unary = np.zeros(int(ones[-1]) + 1, np.uint8)
+        unary[ones] = 1
+        return cls(n, k, low, np.packbits(unary, bitorder="little"), ones[::SAMPLE].astype(np.uint64))
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QQQ", self.n, self.low_bits, len(self.low)) + self.low.tobytes() + self.high.tobytes()
+        head = struct.pack("<QQQQ", self.n, self.low_bits, len(self.samples), len(self.low))
+        return head + self.samples.astype("<u8").tobytes() + self.low.tobytes() + self.high.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
-        n, k, low = struct.unpack_from("<QQQ", data)
-        at = struct.calcsize("<QQQ")
-        return cls(n, k, np.frombuffer(data, np.uint8, low, at), np.frombuffer(data, np.uint8, -1, at + low))
+        n, k, samples, low = struct.unpack_from("<QQQQ", data)
+        at = struct.calcsize("<QQQQ")
+        marks, at = np.frombuffer(data, "<u8", samples, at), at + 8 * samples
+        return cls(n, k, np.frombuffer(data, np.uint8, low, at), np.frombuffer(data, np.uint8, -1, at + low), marks)
 
     def _select(self, i: int) -> int:
         """Position of the i-th one: from its sample on, bytes are skipped by their count of ones."""
@@ -95,14 +100,19 @@ class EliasFano:
             low = word >> (i * k % 8) & ((1 << k) - 1)
         return (self._select(i) - i) << k | low
 
-    def all(self) -> np.ndarray:
-        """Every value, in order."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if not self.low_bits:
+    def values(self, first: int, last: int) -> np.ndarray:
+        """Values number first to last, last excluded: select finds the ends, and only what lies between is unpacked."""
+        if first >= last:
+            return np.zeros(0, np.uint64)
+        a, b, k = self._select(first), self._select(last - 1), self.low_bits
+        ones = np.flatnonzero(np.unpackbits(self.high[a // 8 : b // 8 + 1], bitorder="little")) + a // 8 * 8
+        ones = ones[(ones >= a) & (ones <= b)]
+        high = (ones - np.arange(first, last)).astype(np.uint64) << np.uint64(k)
+        if not k:
             return high
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return high | (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        bits = np.unpackbits(self.low[first * k // 8 : -(-last * k // 8)], bitorder="little")[first * k % 8 :]
+        bits = bits[: (last - first) * k].reshape(last - first, k).astype(np.uint64)
+        return high | (bits << np.arange(k, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -163,6 +173,14 @@ class TokenFile:
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
+#: The rules of a tokenizer file under which texts may be taken in pieces.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {
+    "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "behavior": "Removed", "invert": True,
+}
+
+
 class WordCache:
     """Ids of whole texts by the tokenizers library, which is asked once for each piece between white space.
 
@@ -174,11 +192,10 @@ class WordCache:
     #: Marks that may be parted from a word that they end; an apostrophe is not one, for it can begin a token with letters.
     MARKS = ".,;:!?#$%&*|"
 
-    def __init__(self, json: str, end_id: int, max_cached: int = 250_000) -> None:
+    def __init__(self, rules: str, end_id: int, max_cached: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(json)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_str(rules)
         self.end_id, self.width = end_id, 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         self.code, self.dtype = "H" if self.width == 2 else "I", np.dtype(f"<u{self.width}")
         self.end = self._pack([end_id])
@@ -188,26 +205,29 @@ class WordCache:
         others = [b for b in range(256) if b not in printable]
         name = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.byte_names = {c: "".join(name[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
-        plain = json.replace(": ", ":").replace(", ", ",")
-        self.splits = all(
-            rule in plain
-            for rule in (
-                '{"type":"NFC"},{"type":"Replace","pattern":{"Regex":"\\\\s+"},"content":" "},{"type":"Lowercase"}',
-                r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
-                '"behavior":"Removed","invert":true},{"type":"ByteLevel","add_prefix_space":false',
-            )
-        )
+        parsed = json.loads(rules)
+        special = [t["content"] for t in parsed["added_tokens"]]
+        self.special = "|".join(re.escape(t.lower()) for t in special)
+        steps = (parsed["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.splits = (
+            (parsed["normalizer"] or {}).get("normalizers") == NORMALIZERS and len(steps) == 2 and steps[0] == SPLIT
+            and (steps[1]["type"], steps[1]["add_prefix_space"], steps[1]["use_regex"]) == ("ByteLevel", False, False)
+            and not any(x.isspace() or ord(x) > 126 for t in special for x in t)
+        )
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
     def _parted(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
         """(core, marks) of distinct words: the marks that end a word, if a letter or digit stands before them."""
+        # a special token stands for itself in the text as it is; words that hold one in any case are left to the library
+        plain = pc.invert(pc.match_substring_regex(words, self.special, ignore_case=True)) if self.special else pa.array([True] * len(words))
         cut = pc.utf8_rtrim(words, self.MARKS)
         parts = pc.and_(pc.match_substring_regex(cut, "[A-Za-z0-9]$"), pc.less(pc.binary_length(cut), pc.binary_length(words)))
+        parts = pc.and_(parts, plain)
         marks = pc.replace_substring_regex(words.filter(parts), f"^.*[^{re.escape(self.MARKS)}]", "")
         core = pc.if_else(parts, cut, words)
-        core = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core)
+        core = pc.if_else(pc.and_(pc.string_is_ascii(core), plain), pc.ascii_lower(core), core)
         return core, pc.replace_with_mask(pa.array([""] * len(words), words.type), parts, marks)
 
     def _ids(self, parts: list[str]) -> list[bytes]:
@@ -275,7 +295,7 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int, shards: int | None
     """
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
-        json = spark.sparkContext.broadcast(f.read())
+        rules = spark.sparkContext.broadcast(f.read())
     folder = fresh_path(spark, "tokens")
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
@@ -289,7 +309,7 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int, shards: int | None
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        cache = worker_cache(key, lambda: WordCache(json.value, end_id))
+        cache = worker_cache(key, lambda: WordCache(rules.value, end_id))
         part, piece, ids, doc_ids, held = context.partitionId(), 0, [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -313,7 +333,7 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int, shards: int | None
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")  # nulls first
+    parts = rows.repartitionByRange(n, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")  # nulls first
     written = settled(parts.mapInArrow(write_part, MANIFEST), "token-manifest")
     # one row for each shard of up to 64 MB of ids: the only list that is brought together
     manifest = sorted(written.collect(), key=lambda r: r["path"])
@@ -330,16 +350,17 @@ def read(manifest: DataFrame, files_a_task: int = 4) -> DataFrame:
         for batch in batches:
             for path, start in zip(batch["path"], batch["start"], strict=True):
                 shard = TokenFile(path)
-                bounds = shard.bounds.all().astype(np.int64)
-                names = (shard.names.all().view(np.int64) + shard.base).tolist()
-                doc_ids = [None] * shard.n_null + names
                 for at in range(0, shard.n, 1000):
                     to = min(shard.n, at + 1000)
-                    ids = shard.ids(int(bounds[at]), int(bounds[to]))
-                    cuts = bounds[at : to + 1] - bounds[at]
+                    bounds = shard.bounds.values(at, to + 1).astype(np.int64)
+                    known = max(0, shard.n_null - at)
+                    names = shard.names.values(max(0, at - shard.n_null), max(0, to - shard.n_null)).view(np.int64) + shard.base
+                    doc_ids = [None] * min(known, to - at) + names.tolist()
+                    ids = shard.ids(int(bounds[0]), int(bounds[-1]))
+                    cuts = bounds - bounds[0]
                     crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
                     yield pd.DataFrame({
-                        "doc_id": pd.array(doc_ids[at:to], dtype="Int64"), "start": bounds[at:to] + start,
+                        "doc_id": pd.array(doc_ids, dtype="Int64"), "start": bounds[:-1] + start,
                         "n_tokens": np.diff(cuts), "ids_crc32": crc,
                     })
 
