@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,19 @@ def test_mix_edges(spark):
     assert [r.taken for r in mixing.mix_documents(blank).collect()] == [0]
 
 
+def test_mix_of_repeated_rows(spark):
+    """Rows with one doc_id, or without one, are rounded one by one."""
+    for ids in ([7] * 100, [None] * 100, list(range(50)) + [3] * 50):
+        rows = [(i, "w " * 10, "en", "a", 1, "x") for i in ids] + [(1000 + i, "v " * 10, "en", "b", 1, "x") for i in range(30)]
+        docs = spark.createDataFrame(rows, DOCS)
+        got = mixing.mix_documents(docs).collect()
+        check_mix(docs.collect(), got)
+        taken = Counter()
+        for r in got:
+            taken[r.source] += r.taken
+        assert taken == Counter(r.source for r in mixing.mixed(docs).collect() for _ in range(10))
+
+
 def test_rates_are_exponential_tilts(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 40 + 1), "en", "ab"[i % 2], 1, "x") for i in range(400)], DOCS)
     rates = {(r.source, r["size"]): r.rate for r in mixing.mix_documents(docs).collect()}
@@ -91,35 +105,62 @@ def test_rates_are_exponential_tilts(spark):
 # ---- URL filter
 
 
+def url_parts(url):
+    """Host and path by the words of the contract, a character at a time."""
+    at = (url or "").find("://")
+    host, path = "", ""
+    if at >= 0:
+        rest, i = url[at + 3 :], 0
+        while i < len(rest) and rest[i] not in "/?#":
+            host += chr(ord(rest[i]) + 32) if "A" <= rest[i] <= "Z" else rest[i]
+            i += 1
+        while i < len(rest) and rest[i] not in "?#":
+            path += rest[i]
+            i += 1
+    return host, path
+
+
+def url_rule(host, path):
+    rules = {("com", "/"): "allow", ("example.com", "/en/"): "block", ("www.example.com", "/en/"): "allow", ("net", "/es/"): "block", ("net", "/fr/"): "block"}
+    fits = [k for k in rules if ("." + host).endswith("." + k[0]) and path.startswith(k[1])]
+    best = max(fits, key=lambda k: len(k[0] + k[1]), default=None)
+    return ("".join(best), rules[best]) if best else (None, None)
+
+
+def url_chance(model, host, path):
+    """The logistic function over the distinct 3-, 4- and 5-grams of ^host$ and path$, scaled to unit length."""
+    seen = {k + t[i : i + n] for k, t in (("h", f"^{host}$" if host else ""), ("p", f"{path}$" if path else "")) for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+    slots = [zlib.crc32(g.encode()) % 32768 for g in seen]
+    return 1 / (1 + np.exp(-(sum(model[0][s] for s in slots) / len(slots) ** 0.5 + model[1]))) if slots else 0.0
+
+
 def test_url_query(spark, sf):
     model = urls.fit(urls.labelled_urls())
-    order = sorted(urls.RULES, key=lambda r: -len(r.name))
-    m = urls.UrlModel()
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = QUERIES["op2_url_filter"](spark, sf).collect()
     assert len(got) == len(pages)
     for r in got:
-        host, path = urls.split_url(pages[r.page_id])
-        rule = next((x for x in order if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)), None)
-        slots = urls.grams(host, path, m)
-        p = 1 / (1 + np.exp(-(model[0][slots].sum() / np.sqrt(len(slots)) + model[1]))) if slots else 0
-        want = rule.verdict if rule else "block" if p >= m.threshold else "allow"
-        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule.name if rule else None, want)
-
-
-def test_url_model_generalises():
-    """Held-out hosts: every fifth name is kept from the fit."""
-    rows = urls.labelled_urls()
-    names = sorted({urls.split_url(u)[0] for u, _ in rows})
-    out = set(names[::5])
-    w, b = urls.fit([x for x in rows if urls.split_url(x[0])[0] not in out])
-    m, hits, n = urls.UrlModel(), 0, 0
-    for u, y in rows:
-        if urls.split_url(u)[0] in out:
-            s = urls.grams(*urls.split_url(u), m)
-            hits += ((w[s].sum() / np.sqrt(len(s)) + b) > 0) == y
-            n += 1
-    assert hits / n > 0.85
+        host, path = url_parts(pages[r.page_id])
+        rule, verdict = url_rule(host, path)
+        verdict = verdict or ("block" if url_chance(model, host, path) >= 0.6 else "allow")
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
+
+
+@pytest.mark.parametrize("by,recall", [(0, 0.9), (1, 0.0)])
+def test_url_model_generalises(by, recall):
+    """At the production threshold, on names (0) and on words (1) that the fit has not seen in any host.
+
+    Character n-grams say nothing of a word that they do not know: there only few wanted hosts may be blocked.
+    """
+    names = urls.labelled_names()
+    out = set(sorted({x[by] for x in names})[::5])
+    w, b = urls.fit(urls.labelled_urls([x for x in names if x[by] not in out]))
+    hit = wrong = bad = good = 0
+    for u, y in urls.labelled_urls([x for x in names if x[by] in out]):
+        blocked = bool(url_chance((w, b), *url_parts(u)) >= urls.UrlModel().threshold)
+        hit, wrong, bad, good = hit + (blocked and y), wrong + (blocked and not y), bad + y, good + 1 - y
+    print("unwanted", hit, "of", bad, "wanted blocked", wrong, "of", good)
+    assert hit >= recall * bad and wrong <= 0.05 * good
 
 
 def test_url_edges(spark):
@@ -127,7 +168,7 @@ def test_url_edges(spark):
     odd = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/a?b#c", "x://É.Example.com/en/", "http://a.net/es/://b", "http://net/es/", "http://xnet/es/", "http://com", "http://a.com/\nb", "http://a.org/" + "z" * 50_000, "a://b://c/"]
     df = spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate(odd)], schema)
     got = urls.judge(df, urls.fit(urls.labelled_urls())).orderBy("page_id").collect()
-    assert [(r.host, r.path) for r in got] == [urls.split_url(u) for u in odd]
+    assert [(r.host, r.path) for r in got] == [url_parts(u) for u in odd]
     assert [r.rule for r in got[:10]] == [None, None, None, None, "www.example.com/en/", "example.com/en/", "net/es/", "net/es/", None, None]
     assert all(got[i].verdict == "allow" for i in range(4))
     assert urls.judge(df.limit(0), urls.fit([])).count() == 0
@@ -141,7 +182,8 @@ def ann_brute(rows, k=5):
     x = np.array([r[1] for r in rows], dtype=np.float64)
     out = {}
     for i in np.flatnonzero(ids % 50 == 0):
-        s = ann._scores(x[i : i + 1], x)[0]
+        s = np.array([float(np.dot(x[i], y)) for y in x]) / (np.linalg.norm(x[i]) * np.linalg.norm(x, axis=1))
+        s = np.round(s, 12)  # ties of equal vectors, whatever the order of the sums
         s[ids == ids[i]] = -np.inf
         order = np.lexsort((ids, -s))[:k]
         out[int(ids[i])] = [(int(ids[j]), float(s[j])) for j in order if s[j] > -np.inf]
@@ -163,7 +205,34 @@ def test_ann_recall(spark):
     hits = sum(len({a for a, _ in got[q]} & {a for a, _ in want[q]}) for q in want)
     assert hits >= 0.95 * 5 * len(want)
     exact = {q: dict(v) for q, v in want.items()}
-    assert all(s == exact[q][v] for q in got for v, s in got[q] if v in exact[q])
+    assert all(abs(s - exact[q][v]) < 1e-11 for q in got for v, s in got[q] if v in exact[q])
+
+
+@pytest.mark.parametrize("spread,most", [(0.25, 0.05), (None, 0.5)])
+def test_ann_index_at_size(spark, spread, most):
+    """Recall, and the share of the table in the lists that a query reads: around 400 centres, and without structure."""
+    rng = np.random.default_rng(1)
+    n, d = 24_000, 32
+    x = rng.normal(size=(n, d)) if spread is None else rng.normal(size=(400, d))[rng.integers(0, 400, n)] + spread * rng.normal(size=(n, d))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.astype(np.float32).tolist()}), "vec_id long, embedding array<float>").repartition(4).cache()
+    x = x.astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, n, 400)
+    got = by_query(ann.search(df, F.col("vec_id") % 400 == 0).collect())
+    hits = 0
+    for i in asked:
+        s = x @ x[i]
+        s[i] = -2
+        hits += len(set(np.argsort(-s)[:5].tolist()) & {v for v, _ in got[int(i)]})
+    p = ann.Index()
+    centroids = ann.fit(x, n, p)
+    p = ann.calibrated(ann._vectors(df, "vec_id", "embedding"), centroids, p, 5)
+    graph = ann.Graph(centroids, p)
+    members = np.bincount(np.concatenate(ann.lists_of(graph, x)), minlength=len(centroids))
+    read = np.mean([members[lists].sum() / n for lists in ann.probes_of(graph, x[asked])])
+    print("recall", hits / (5 * len(asked)), "read", read, "probes", p.probes, "ratio", p.pruning)
+    assert hits >= 0.9 * 5 * len(asked) and read <= most * (1 if spread else 4)
+    df.unpersist()
 
 
 def test_ann_edges(spark):
@@ -178,7 +247,7 @@ def test_ann_edges(spark):
     good = [(r[0], r[1]) for r in rows if r[0] is not None and r[0] < 1000]
     want = ann_brute(good)
     assert got.keys() == want.keys()
-    assert got[200] == want[200] and [v for v, _ in got[200]] == [150, 151, 152, 153, 154]
+    assert [v for v, _ in got[200]] == [v for v, _ in want[200]] == [150, 151, 152, 153, 154]
     few = spark.createDataFrame([(0, [1.0, 0.0], 0, "s"), (1, [1.0, 1.0], 0, "s"), (2, [0.0, 1.0], 0, "s")], schema)
     assert [(r.rank, r.vec_id) for r in ann.search(few, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert ann.search(few.limit(0), F.col("vec_id") % 50 == 0).count() == 0
@@ -220,6 +289,13 @@ def test_shards_edges(spark):
     check_shards(docs.limit(3).collect(), sharding.place(docs.limit(3)))
 
 
+def test_shards_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(20)).unionByName(docs.limit(5).select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    placed = [Counter(map(tuple, sharding.place(d).select("doc_id", "text_crc32", "shard").collect())) for d in (docs.repartition(7), docs.coalesce(1).orderBy(F.desc("doc_id")))]
+    assert placed[0] == placed[1]
+
+
 # ---- WARC
 
 
@@ -275,6 +351,28 @@ def test_salvage_recovers_every_later_record():
     assert list(warc.Salvage(b"")) == []
 
 
+def test_salvage_of_records_in_payloads():
+    """A record inside a damaged record's payload is no record of the archive, if the outer headers still name an end."""
+    make = lambda i, payload: warc.record(i, None, payload, None, warc.digest(payload), False)
+    inner = make(99, b"inner")
+    first, second = make(1, b"before " + inner + b" after"), make(2, b"second")
+    hurt = first.replace(b"before", b"beforf", 1)
+    s = warc.Salvage(hurt + second)
+    assert [(warc._number(r.headers["warc-record-id"]), r.searched) for r in s] == [(2, False)]
+    assert s.gaps == [(0, len(first), "block digest does not match")]
+    s = warc.Salvage(hurt.replace(b"Content-Length: ", b"Content-Lungth: ", 1) + second)
+    assert [(warc._number(r.headers["warc-record-id"]), r.searched) for r in s] == [(99, True), (2, True)]
+
+
+def test_gaps_are_found_in_the_same_pass(spark, tmp_path):
+    made = [warc.member(warc.record(i, "u", b"x" * 50, None, warc.digest(b"x" * 50), False)) for i in range(3)]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(made[0] + made[1][:-9] + b"z" * 9 + made[2])
+    manifest = spark.createDataFrame([(f"file://{path}", 3, 0)], warc.MANIFEST)
+    assert sorted(r.page_id for r in warc.read(manifest).collect()) == [0, 2]
+    assert [(r.first, r.last) for r in warc.gaps(manifest).collect()] == [(len(made[0]), len(made[0]) + len(made[1]))]
+
+
 # ---- pipeline
 
 
