@@ -417,3 +417,20 @@ def test_pipeline_repeats_and_nulls(spark, tmp_path):
     out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
     assert out.filter("doc_id = 3").count() == 1 and out.columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """No rows, and columns of odd types or with the names of results."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, m map<string,int>, size array<int>"
+    text = " ".join(f"plain{i} words" for i in range(60))
+    rows = [(1, text, "en", "a", 1, 0.5, "x", {"k": 1}, [1]), (1, text, "en", "a", 1, 0.5, "x", {"k": 2}, [1]), (2, text + " more", "en", "b", 1, None, None, None, None), (3, " ".join(f"other{i} things" for i in range(60)), "en", None, 1, 0.1, "y", {}, [])]
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for some in ([], rows):
+        docs = spark.createDataFrame(some, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            assert (out.count() == 0) == (not some)
+        assert corpus_pipeline.byte_bpe(spark, docs, str(tmp_path)).count() == len(some)
+        left = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+        assert sorted(r.doc_id for r in left) == ([1, 3] if some else [])
