@@ -59,7 +59,7 @@ def merge(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 62) -> list[b
 class Transducer:
     """Encodes byte strings; states and transitions are made when first met."""
 
-    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 400_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 400_000) -> None:  # some 200 bytes each
         self.ranks, self.max_transitions = ranks, max_transitions
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
@@ -71,7 +71,7 @@ class Transducer:
         self.states: list[tuple[tuple[bytes | None, bytes], ...]] = []
         self.next: list[dict[int, tuple[dict, bytes | None]]] = []  # of each state; its own number is at -1
         self.transitions = 0
-        if len(self.stable) > 4 * self.max_transitions:
+        if len(self.stable) > 2 * self.max_transitions:
             self.stable.clear()
         self._state(((None, b""),))
 
@@ -223,7 +223,7 @@ class Codec:
     """Encodes and decodes whole texts; ids are little-endian unsigned 32-bit integers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_cached: int = 300_000, run: int = 1 << 16, long: int = 16 << 20) -> None:
-        self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
+        self.transducer, self.pattern = Transducer(ranks, max(1000, max_cached * 4 // 3)), regex.compile(pattern)
         self.max_cached, self.run, self.long = max_cached, run, long
         self.spaced = all(_SPACE_FIRST.fullmatch(part) for part in pattern.split("|"))
         self.of = {t: np.uint32(i).astype("<u4").tobytes() for t, i in ranks.items()}
@@ -325,17 +325,18 @@ class Codec:
         yield stream.feed(b"", last=True)
 
 
-def encode_decode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = False, cached: int = 300_000) -> DataFrame:
     """doc_id with n_tokens, ids_sha256 and decoded_sha256 of each whole text; with_ids adds ids (binary) and decoded.
 
-    The rank file is read on the driver and sent to the executors; its size is that of the vocabulary.
+    The rank file is read on the driver and sent to the executors; its size is that of the vocabulary. `cached` matches, in
+    two generations, and a third more transitions than that are kept in a worker: some 1 KB each, for speed.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(rank_file))
-    key = ("bpe", rank_file, pattern)
+    key = ("bpe", rank_file, pattern, cached)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_cache(key, lambda: Codec(ranks.value, pattern))
+        codec = worker_cache(key, lambda: Codec(ranks.value, pattern, cached))
         for whole in batches:
             for batch in few_mb(whole, 4 << 20):
                 out = [[] for _ in range(5)]

@@ -49,6 +49,22 @@ def few_mb(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
 _HELD: dict[Hashable, object] = {}
 
 
+def release() -> None:
+    """Gives back what worker_cache keeps in this worker: for operators that need no cache of their own."""
+    if _HELD:
+        _HELD.clear()
+        _trim()
+
+
+def _trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def worker_cache(key: Hashable, make: Callable[[], object]):
     """What `make` makes, kept in this worker until another key is asked for: one operator's cache at a time.
 
@@ -56,11 +72,6 @@ def worker_cache(key: Hashable, make: Callable[[], object]):
     """
     if key not in _HELD:
         _HELD.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        _trim()
         _HELD[key] = make()
     return _HELD[key]

@@ -16,7 +16,7 @@ outside the largest component are held against a few others of it that a hash pi
 pairs whose members are not yet connected; pairs inside a component cannot change it. Components are found by joins that contract the graph.
 
 Edge cases: a null, empty or wordless text has an empty set and is linked with nothing; fewer than five words are one
-shingle. A text is shingled whole, however long; a worker holds the shingles of 4 MB of texts, or of one longer text, at
+shingle. A text is shingled whole, however long; a worker holds the shingles of 2 MB of texts, or of one longer text, at
 once. Rows that repeat a doc_id are one document; if their texts differ, the smallest text counts. Rows without doc_id are returned with a null component and are compared with nothing. Extra columns are not read.
 """
 
@@ -32,8 +32,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .columns import few_mb, hashed_words
-from .common import by_ids, compact, drop_settled, held, settled
+from .columns import few_mb, hashed_words, release
+from .common import by_ids, compact, drop_settled, held, settled, small_batches
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,7 @@ def shingles(texts: pa.Array, words: int = 5) -> list[np.ndarray]:
 
 
 #: Bytes of text whose shingles a worker holds at once; a longer text is held alone.
-TEXT_RUN = 4 << 20
+TEXT_RUN = 2 << 20
 
 
 def _first_pass(docs: DataFrame, bits: int, p: JaccardJoin) -> DataFrame:
@@ -94,6 +94,7 @@ def _first_pass(docs: DataFrame, bits: int, p: JaccardJoin) -> DataFrame:
     kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts = np.zeros(size, np.uint16)
         for whole in batches:
             for batch in few_mb(whole, TEXT_RUN):
@@ -141,6 +142,7 @@ def _postings(docs: DataFrame, levels: np.ndarray, p: JaccardJoin) -> DataFrame:
     hot = round(4 * np.log2(p.hot))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         levels = shared.value
         k = np.arange(1, p.most_matches + 1)
         for whole in batches:
@@ -305,6 +307,7 @@ def _joined(near: DataFrame, links: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, p: JaccardJoin) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for batch in few_mb(whole, TEXT_RUN):
                 sets = shingles(batch.column("text"), p.words)
@@ -318,7 +321,8 @@ def _sets(docs: DataFrame, ids: DataFrame, p: JaccardJoin) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, p: JaccardJoin) -> DataFrame:
     """The pairs (a, b) that are linked, by their whole sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = held(_sets(docs.select("doc_id", "text"), ids, p))
+    with small_batches(docs.sparkSession):
+        sets = held(_sets(docs.select("doc_id", "text"), ids, p))
     left = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
     both = left.join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))  # the sets hold distinct hashes
@@ -383,14 +387,17 @@ def join(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     whole = _whole(docs)
     bits = min(p.most_bits, max(16, (whole.count() * p.sketch_slots).bit_length()))
-    first = held(_first_pass(whole, bits, p))
+    with small_batches(docs.sparkSession):
+        first = held(_first_pass(whole, bits, p))
     named = first.filter("part is null").select("doc_id", "n", "fp")
     classes = named.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("c"))
     classes = compact(classes.filter("c > 1").drop("c"), "jaccard-classes")
     grouped = named.filter("n > 0").join(classes, "fp")
     copies = compact(grouped.filter("doc_id <> class_id").select("doc_id", "class_id"), "jaccard-copies")
     single = by_ids(whole, copies.select("doc_id"), "doc_id", "left_anti")
-    postings = held(_postings(single, _sketch(first, bits), p))
+    levels = _sketch(first, bits)
+    with small_batches(docs.sparkSession):
+        postings = held(_postings(single, levels, p))
     shared = compact(_shared(postings, p), "jaccard-shared")
     postings.unpersist()
     h = F.col("h")

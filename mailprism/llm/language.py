@@ -45,6 +45,7 @@ class LanguageModel:
     rounds: int = 3  # of expectation maximisation
     prior: float = 0.01  # pseudo-count of each piece
     evidence: float = 30.0  # letters
+    cached: int = 150_000  # tokens whose likelihoods a worker keeps, in two generations
 
 
 def read_pieces(path: str) -> list[str]:
@@ -199,7 +200,7 @@ def fit(labelled: DataFrame, vocabulary: str, m: LanguageModel = LanguageModel()
 class Scorer:
     """Log-likelihoods of tokens between white space, kept in two generations of bounded size."""
 
-    def __init__(self, pieces: list[str], p: np.ndarray, most: int = 150_000) -> None:
+    def __init__(self, pieces: list[str], p: np.ndarray, most: int) -> None:
         self.lattice, self.p, self.most = Lattice(pieces), p, most
         self.rows: dict[str, int] = {}
         self.table = np.zeros((0, p.shape[1] + 1), np.float32)
@@ -248,12 +249,12 @@ def identify(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], m:
     if not languages:
         return docs.withColumns({names[0]: F.lit("und"), names[1]: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast((pieces, p))  # vocabulary times languages
-    key, evidence = uuid.uuid4().hex, m.evidence
+    key, evidence, cached = uuid.uuid4().hex, m.evidence, m.cached
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = worker_cache(key, lambda: Scorer(*shared.value))
+        scorer = worker_cache(key, lambda: Scorer(*shared.value, cached))
         for whole in batches:
-            for batch in few_mb(whole):
+            for batch in few_mb(whole, 4 << 20):
                 sums = scorer.score(batch.column("text"))
                 letters = sums[:, -1]
                 mean = sums[:, :-1] / np.maximum(letters, 1)[:, None] * np.minimum(letters, evidence)[:, None]
