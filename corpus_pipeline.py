@@ -16,6 +16,9 @@ from mailprism.llm.common import by_ids, compact, settled, table
 #: Language ID rejects a text without a letter, and one whose language is less certain than this.
 LEAST_LANGUAGE_SCORE = 0.4
 
+#: Words that a stage keeps in a worker. Less than alone: workers and executors live through all stages here.
+CACHED = 75_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality rules keep; each of several equal rows, also those without doc_id."""
@@ -29,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     held_out = F.coalesce(language.held_out(F.col("doc_id")), F.lit(False))
     model = language.fit(docs.filter(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
-    judged = language.identify(docs, model, names=("_mp_lang", "_mp_score"))
+    judged = language.identify(docs, model, language.LanguageModel(cached=CACHED), names=("_mp_lang", "_mp_score"))
     kept = (F.col("_mp_lang") != "und") & (F.col("_mp_score") >= LEAST_LANGUAGE_SCORE)
     return judged.filter(kept).select(*docs.columns)
 
@@ -62,7 +65,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded bytes of each row, one for each copy."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN)
+    return bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN, cached=CACHED)
 
 
 STAGES = [
