@@ -155,7 +155,8 @@ class Spf:
 
 
 def spf(rows: DataFrame, ip: str, domain: str, dns: DataFrame, most_records: int = 200_000) -> DataFrame:
-    """Adds spf. The DNS snapshot (name, type, value) is cut to what the mail domains reach and must then be small."""
+    """Adds spf. The DNS snapshot (name, type, value) goes to every executor: its TXT, MX and A records are counted first,
+    and more than most_records of them are an error, never a cut. Pass the records that the mail domains reach."""
     wanted = dns.filter(F.col("type").isin("TXT", "MX", "A"))
     found = wanted.limit(most_records + 1).collect()
     if len(found) > most_records:

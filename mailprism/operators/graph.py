@@ -291,25 +291,28 @@ def campaign_id(ids: Column) -> Column:
     return F.substring(F.md5(F.array_join(F.array_sort(ids), "_")), 1, 12)
 
 
-def campaign_pairs(links: DataFrame, email: str, ioc: list[str], least_shared: int, most_per_ioc: int = 2_000) -> DataFrame:
-    """(a, b, shared) of emails that share `least_shared` indicators.
-
-    If one shared indicator is enough, an indicator in more than `most_per_ioc` emails links them through its first email
-    alone: campaigns as components stay the same, and no long list is squared. If more are needed, every pair is counted.
-    """
-    if least_shared > 1:
-        most_per_ioc = 1 << 60
-    sized = links.select(email, *ioc).distinct()
-    counts = sized.groupBy(*ioc).agg(F.count(F.lit(1)).alias("n"), F.min(email).alias("first"))
-    sized = sized.join(counts.filter("n > 1"), ioc)
-    small = sized.filter(F.col("n") <= most_per_ioc)
-    x, y = small.alias("x"), small.alias("y")
+def _in_lists(links: DataFrame, email: str, ioc: list[str]) -> DataFrame:
+    """Distinct links of indicators that several emails have, with the list's length n and its first email."""
+    each = links.select(email, *ioc).distinct()
+    counts = each.groupBy(*ioc).agg(F.count(F.lit(1)).alias("n"), F.min(email).alias("first"))
+    return each.join(counts.filter("n > 1"), ioc)
+
+
+def campaign_pairs(links: DataFrame, email: str, ioc: list[str], least_shared: int) -> DataFrame:
+    """(a, b, shared): every pair of emails that share `least_shared` indicators."""
+    each = _in_lists(links, email, ioc)
+    x, y = each.alias("x"), each.alias("y")
     same = F.lit(True)
     for c in ioc:
         same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
     pairs = x.join(y, same & (F.col(f"x.{email}") < F.col(f"y.{email}"))).select(F.col(f"x.{email}").alias("a"), F.col(f"y.{email}").alias("b"))
-    star = sized.filter((F.col("n") > most_per_ioc) & (F.col(email) != F.col("first"))).select(F.col("first").alias("a"), F.col(email).alias("b"))
-    return pairs.unionByName(star).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least_shared)
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least_shared)
+
+
+def campaign_links(links: DataFrame, email: str, ioc: list[str]) -> DataFrame:
+    """(a, b): each email with the first one of each of its indicators. For components alone: they are those of all pairs."""
+    each = _in_lists(links, email, ioc).filter(F.col(email) != F.col("first"))
+    return each.select(F.col("first").alias("a"), F.col(email).alias("b")).distinct()
 
 
 def campaign_stars(pairs: DataFrame, least_emails: int) -> DataFrame:

@@ -214,6 +214,12 @@ def drift_level(psi_: Column, ks: Column) -> Column:
     return F.when((psi_ >= 0.25) | (ks >= 0.2), "HIGH").when((psi_ >= 0.1) | (ks >= 0.1), "MODERATE").otherwise("LOW")
 
 
+def drift_ranked(measured: DataFrame, most: int = 20) -> DataFrame:
+    """The features (feature, psi, ks) that drifted most, with their level: a top list."""
+    ranked = measured.withColumn("level", drift_level(F.col("psi"), F.col("ks")))
+    return ranked.orderBy(F.desc("psi"), F.desc("ks"), "feature").limit(most)
+
+
 def anova_f(rows: DataFrame, column: str, group: str) -> DataFrame:
     """One-way F from group sums alone."""
     c = F.col(column).cast("double")

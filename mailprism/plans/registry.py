@@ -38,6 +38,8 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="mailprism-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}"

@@ -17,6 +17,7 @@ def session(master: str | None = None, shuffle_partitions: int | None = None) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     }.items():
         b = b.config(k, v)
     if master:

@@ -116,11 +116,20 @@ def parsed(raw: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([parse(bytes(x)) if x is not None else {f.name: None for f in MAIL.fields} for x in batch], columns=MAIL.names)
 
 
-def scan(spark: SparkSession, folder: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(path, size, content) of .eml files under a folder, dot files aside; larger ones are left out."""
+def _files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").option("recursiveFileLookup", "true").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.filter((F.col("length") <= most_bytes) & ~name.startswith(".")).select("path", F.col("length").alias("size"), "content")
+    return files.filter(~F.element_at(F.split("path", "/"), -1).startswith("."))
+
+
+def scan(spark: SparkSession, folder: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(path, size, content) of .eml files under a folder, dot files aside; `rejects` has those that are too large."""
+    return _files(spark, folder).filter(F.col("length") <= most_bytes).select("path", F.col("length").alias("size"), "content")
+
+
+def rejects(spark: SparkSession, folder: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(path, size, reason) of the files that scan leaves out; their content is not read."""
+    too_large = _files(spark, folder).filter(F.col("length") > most_bytes)
+    return too_large.select("path", F.col("length").alias("size"), F.lit("too large").alias("reason"))
 
 
 def mails(raw: DataFrame) -> DataFrame:

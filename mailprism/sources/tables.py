@@ -84,8 +84,10 @@ def write_csv_report(report: DataFrame, path: str) -> None:
 
 
 def markdown(report: DataFrame, most: int = 1000) -> str:
-    """A small report as a table."""
-    rows = report.limit(most).collect()
+    """A small report as a table; one of more than `most` rows is an error."""
+    rows = report.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the report has more than {most} rows")
     head = f"| {' | '.join(report.columns)} |\n|{'---|' * len(report.columns)}\n"
     return head + "".join(f"| {' | '.join(str(v) for v in r)} |\n" for r in rows)
 

@@ -231,7 +231,7 @@ def test_graph_loops(spark):
     assert {r.node: r.level for r in graph.bfs_levels(e, start, 5, settled).collect()} == {1: 0, 2: 1, 3: 2, 4: 3}
     assert {r.node: r.component for r in graph.components(e.toDF("a", "b"), settled).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7}
     links = spark.createDataFrame([(i, "x") for i in range(30)] + [(0, "y"), (1, "y")], "email long, ioc string")
-    wide = graph.campaign_pairs(links, "email", ["ioc"], 1, most_per_ioc=10)
+    wide = graph.campaign_links(links, "email", ["ioc"])
     assert wide.count() == 29 and graph.campaign_pairs(links, "email", ["ioc"], 2).count() == 1
     s = one(spark, s=graph.correlation_score({"exact_ioc": F.lit(1.0), "domain": F.lit(1.0)}))
     assert s.s == pytest.approx(0.4 / 1.4)
@@ -297,6 +297,8 @@ def test_csv_and_features(spark, tmp_path):
             tables.read_features(spark, str(tmp_path / "f"), names, forbidden)
     tables.write_canonical(spark.createDataFrame([("1", "x")], "record_id string, body string"), str(tmp_path / "c"))
     assert len(spark.read.parquet(str(tmp_path / "c")).columns) == 24
+    with pytest.raises(ValueError):
+        tables.markdown(spark.range(3), most=2)
     assert tables.markdown(spark.createDataFrame([(1, "a")], "x int, y string")).splitlines()[-1] == "| 1 | a |"
 
 
@@ -347,3 +349,10 @@ def test_calibration(spark):
         assert low < 0.4 < 0.8 < high
     assert ml.pick_calibration({"uncalibrated": {"f1": 0.9, "brier": 0.2, "ece": 0.1}, "x": {"f1": 0.899, "brier": 0.1, "ece": 0.1}, "y": {"f1": 0.5, "brier": 0.0, "ece": 0.0}}) == "x"
     assert ml.leave_out(["a_", "b_"], lambda f: len(f) / 3, ["a_1", "a_2", "b_1"])[0][0] == "a_"
+
+
+def test_scan_names_what_it_leaves_out(spark, tmp_path):
+    for name, size in (("a.eml", 10), ("b.eml", 2000), (".c.eml", 10), ("d.txt", 10)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    assert [r.path.rsplit("/", 1)[1] for r in mime.scan(spark, str(tmp_path), 100).collect()] == ["a.eml"]
+    assert [(r.path.rsplit("/", 1)[1], r["size"], r.reason) for r in mime.rejects(spark, str(tmp_path), 100).collect()] == [("b.eml", 2000, "too large")]
