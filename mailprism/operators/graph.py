@@ -99,18 +99,6 @@ def mail_graph(mail: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges_of(observed)
 
 
-def add_provider(nodes: DataFrame, edges: DataFrame, provider: str, reliability: float, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Adds a provider node and its links (target, confidence, seen_at)."""
-    me = node_id(F.lit("PROVIDER"), F.lit(provider))
-    node = links.agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count(F.lit(1)).alias("source_count")).select(
-        me.alias("node_id"), F.lit("PROVIDER").alias("node_type"), F.lit(provider).alias("canonical_value"),
-        "first_seen", "last_seen", "source_count", F.lit(reliability).alias("confidence"),
-    )
-    new = links.select(me.alias("source"), "target", F.lit("REPORTED_BY").alias("relationship_type"), "confidence",
-                       "seen_at", F.lit(None).cast("long").alias("email_id"))
-    return nodes.unionByName(node, allowMissingColumns=True), edges.unionByName(edges_of(new), allowMissingColumns=True)
-
-
 # ---- joins along paths
 
 
@@ -167,11 +155,6 @@ def degrees(edges: DataFrame, a: str = "source", b: str = "target") -> DataFrame
     return edges.select(F.explode(F.array(a, b)).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def case_subgraph(edges: DataFrame, case_node: str) -> DataFrame:
-    inside = edges.filter(F.col("target") == case_node).filter(F.col("relationship_type").isin(PART_OF_CASE, ASSOCIATED_WITH_CASE)).select("source")
-    return edges.join(inside, "source", "left_semi")
-
-
 # ---- traversal
 
 
@@ -274,16 +257,6 @@ def email_similarity(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("similarity", F.round(score, 6))
 
 
-# Weights of the nine categories of correlation.
-CORRELATION_WEIGHTS = {"exact_ioc": 0.25, "domain": 0.15, "url": 0.15, "ip": 0.10, "hash": 0.15, "sender": 0.05, "subject": 0.05, "temporal": 0.05, "campaign": 0.05}
-
-
-def correlation_score(parts: dict[str, Column]) -> Column:
-    """Weighted sum of category scores, damped to s / (1 + s)."""
-    s = sum((parts[k] * w for k, w in CORRELATION_WEIGHTS.items() if k in parts), F.lit(0.0))
-    return s / (1 + s)
-
-
 # ---- campaigns and hunting
 
 

@@ -206,13 +206,19 @@ def mail_graph_stats(t):
     return graph.graph_stats(*_mail(t))
 
 
-@query("mail_graph_by_domain", "GR-08 SO-03 JN-02")
+@query("mail_graph_by_domain", "GR-08 SO-03 JN-02", """
+    select sha256('EMAIL|' || page_id) as source from pages where page_id % 9 = 3 or lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) = 'host3.example'""")
 def mail_graph_by_domain(t):
     nodes, edges = _mail(t)
     return graph.emails_by(edges, nodes, "DOMAIN", "host3.example")
 
 
-@query("mail_graph_export", "GR-19 SNK-07 FP-14 GR-18 JS-04")
+@query("mail_graph_export", "GR-19 SNK-07 FP-14", """
+    with p as (select page_id::varchar as e, 'u' || page_id % 40 || '@host' || page_id % 9 || '.example' as s, 'host' || page_id % 9 || '.example' as sd, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) as h from pages),
+    n as (select 'EMAIL' as k, e as v from p union select 'SENDER', s from p union select 'DOMAIN', sd from p union select 'DOMAIN', h from p where h <> ''),
+    l as (select distinct 'EMAIL|' || e as a, 'SENDER|' || s as b, 'SENT_FROM' as r from p union select 'SENDER|' || s, 'DOMAIN|' || sd, 'USES_DOMAIN' from p union select 'EMAIL|' || e, 'DOMAIN|' || h, 'CONTAINS_DOMAIN' from p where h <> '')
+    select '{"group":"nodes","data":{"id":"' || sha256(k || '|' || v) || '","type":"' || k || '","label":"' || v || '"}}' as element from n
+    union all select '{"group":"edges","data":{"source":"' || sha256(a) || '","target":"' || sha256(b) || '","label":"' || r || '"}}' from l""")
 def mail_graph_export(t):
     nodes, edges = _mail(t)
     return graph.cytoscape(*graph.visible_subgraph(nodes, edges, ["EMAIL", "SENDER", "DOMAIN"]))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailprism.functions import net, text
-from mailprism.operators import corpus, features, forensics, graph, intel, metrics, ml, scoring
+from mailprism.operators import corpus, correlation, features, forensics, graph, intel, metrics, ml, scoring
 from mailprism.plans.mail_queries import RAW
 from mailprism.plans.registry import settled
 from mailprism.sources import mime, tables
@@ -221,8 +221,28 @@ def test_two_mails_share_a_domain(spark):
     hops = graph.two_hops(edges, graph.SENT_FROM, graph.USES_DOMAIN).withColumnRenamed("source", "email")
     shared = graph.shared_infrastructure(hops, "email", ["target"]).collect()
     assert [(names[r.target], r.email_count) for r in shared] == [("evil.com", 2)]
-    n2, e2 = graph.add_provider(nodes, edges, "feed", 0.9, nodes.limit(2).select(F.col("node_id").alias("target"), F.lit(0.5).alias("confidence"), F.col("first_seen").alias("seen_at")))
-    assert n2.count() == nodes.count() + 1 and e2.count() == edges.count() + 2
+    f = spark.createDataFrame([("feed", 0.9, "evil.com", 0.5), ("feed", 0.9, "good.org", None), ("odd", None, "evil.com", 1.0)], "provider string, reliability double, ioc_value string, confidence double")
+    n2, e2 = correlation.provider_graph(f.withColumns({"ioc_type": F.lit("DOMAIN"), "seen_at": F.timestamp_seconds(F.lit(1))}))
+    assert n2.count() == 4 and e2.count() == 3
+    got = {r.canonical_value: (r.reputation, r.providers) for r in correlation.ioc_reputation(n2, e2).collect()}
+    assert got == {"evil.com": (round((0.45 * 0.5 + 0.5) / 0.95, 6), 2), "good.org": (0.5, 1)}
+    kept, held = correlation.case_subgraph(correlation.associated(nodes, ["node_id"], nodes.filter("canonical_value in ('1', 'a@evil.com')").select("node_id", F.lit(7).alias("case_id"))), edges, 7)
+    assert kept.count() == 2 and [r.relationship_type for r in held.collect()] == ["SENT_FROM"]
+    assert correlation.case_subgraph(correlation.associated(nodes, ["node_id"], nodes.select("node_id", F.lit(7).alias("case_id"))), edges, 8)[0].isEmpty()
+
+
+def test_correlation(spark):
+    rows = [(1, "A@x.com", None, "one two", "", "PASS", ["9.9.9.9"], None), (2, "a@X.com", None, "two one", None, "FAIL", ["9.9.9.9"], ["h"]), (3, None, None, None, None, None, None, None)]
+    m = spark.createDataFrame(rows, "email_id long, sender string, reply_to string, subject string, body string, spf string, ips array<string>, hashes array<string>")
+    m = m.withColumns({c: F.lit(None).cast("array<string>") for c in ("relay_hosts", "urls", "domains", "flagged")} | {c: F.lit("NONE") for c in ("dkim", "dmarc")})
+    got = {(r.a, r.b): r for r in correlation.correlate_emails(m, spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")).collect()}
+    s = 0.3 / 2 + 0.2 + 0.15 + 0.07 + 0.05 / 2 + 0.03 * 2 / 3
+    assert got[1, 2].score == pytest.approx(s / (1 + s), abs=1e-6) and got[1, 2].contradicting == 1
+    assert got[1, 2].active == "EXACT_IOC,INFRASTRUCTURE,SENDER,DOMAIN,CONTENT,AUTHENTICATION" and got[1, 3].active == "AUTHENTICATION"
+    links = spark.createDataFrame([(i, "x") for i in range(4)] + [(3, "y"), (4, "y"), (3, "z"), (8, "q"), (99, "x")], "email_id long, ioc string")
+    links = links.withColumn("seen_at", F.timestamp_seconds(F.when(F.col("email_id") == 99, 0).otherwise(F.lit(5_000_000) + F.col("email_id"))))
+    found = correlation.detect_campaigns(links, ["ioc"], F.timestamp_seconds(F.lit(5_000_009)), settled).collect()
+    assert [(r.first_email, r.emails, r.iocs) for r in found] == [(0, 5, 3)]
 
 
 def test_graph_loops(spark):
@@ -233,7 +253,7 @@ def test_graph_loops(spark):
     links = spark.createDataFrame([(i, "x") for i in range(30)] + [(0, "y"), (1, "y")], "email long, ioc string")
     wide = graph.campaign_links(links, "email", ["ioc"])
     assert wide.count() == 29 and graph.campaign_pairs(links, "email", ["ioc"], 2).count() == 1
-    s = one(spark, s=graph.correlation_score({"exact_ioc": F.lit(1.0), "domain": F.lit(1.0)}))
+    s = one(spark, s=correlation.damped({"EXACT_IOC": F.lit(1.0), "DOMAIN": F.lit(1.0)}))
     assert s.s == pytest.approx(0.4 / 1.4)
 
 
