@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -189,15 +190,43 @@ def normalized_ipv4(ip: Column) -> Column:
     return F.when(n.isNotNull(), F.concat_ws(".", *[F.pmod(F.shiftright(n, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]))
 
 
-@F.pandas_udf(T.StringType())
-def compressed_ipv6(s: pd.Series) -> pd.Series:
-    def one(x: str) -> str | None:
-        try:
-            return ipaddress.IPv6Address(x).compressed
-        except ValueError:
-            return None
+def _hextets(v: Column) -> Column:
+    return F.when(v == "", F.array().cast("array<string>")).otherwise(F.split(v, ":"))
 
-    return s.map(one, na_action="ignore")
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value worked out once, however often `then` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def compressed_ipv6(ip: Column) -> Column:
+    """The shortest form: lower case, no leading zeros, the first longest run of zero groups as ::; null if it is none.
+    A dotted tail becomes two groups; scopes are refused."""
+
+    def plain(v: Column) -> Column:
+        n = ipv4_number(F.regexp_extract(v, r"^.*:([0-9.]*\.[0-9.]*)$", 1))
+        groups = F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(F.pmod(n, F.lit(65536)))))
+        return F.when(~v.contains("."), v).otherwise(F.concat(F.regexp_extract(v, r"^(.*:)", 1), groups))
+
+    def filled(halves: Column) -> Column:
+        left, right = _hextets(halves[0]), _hextets(F.try_element_at(halves, F.lit(2)))
+        given = F.size(left) + F.size(right)
+        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - given))
+        return F.when(F.size(halves) == 1, left).when((F.size(halves) == 2) & (given < 8), F.concat(left, zeros, right))
+
+    def joined(groups: Column) -> Column:
+        ok = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(ok, F.array_join(F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":"))
+
+    def shortened(full: Column) -> Column:
+        short = full
+        for k in range(2, 9):  # the longest run is tested last and wins
+            run = rf"^(.*?):?\b0(?::0){{{k - 1}}}\b:?(.*)$"
+            short = F.when(full.rlike(run), F.regexp_replace(full, run, "$1::$2")).otherwise(short)
+        return short
+
+    text = bound(F.lower(F.trim(ip)), plain)
+    return bound(bound(bound(F.split(text, "::"), filled), joined), shortened)
 
 
 def net_range(cidr: str) -> tuple[int, int]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,14 +84,14 @@ def aligned(a: Column, b: Column, mode: Column) -> Column:
 
 
 def dmarc(from_domain: Column, spf: Column, spf_domain: Column, dkim: Column, dkim_domain: Column, record: Column) -> Column:
-    """(result, policy, spf_aligned, dkim_aligned): a pass needs a mechanism that passes and is aligned."""
+    """(result, policy, subdomain_policy, spf_aligned, dkim_aligned): a pass needs a mechanism that passes and is aligned."""
     tags = tag_map(record)
     tag = lambda k: F.try_element_at(tags, F.lit(k))
     by_spf, by_dkim = aligned(from_domain, spf_domain, tag("aspf")), aligned(from_domain, dkim_domain, tag("adkim"))
     ok = ((spf == "PASS") & by_spf) | ((dkim == "PASS") & by_dkim)
     absent = record.isNull() | ~record.startswith("v=DMARC1")
     return F.struct(F.when(absent, "NONE").when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL").alias("result"),
-                    F.coalesce(tag("p"), F.lit("none")).alias("policy"), by_spf.alias("spf_aligned"), by_dkim.alias("dkim_aligned"))
+                    F.coalesce(tag("p"), F.lit("none")).alias("policy"), F.coalesce(tag("sp"), tag("p"), F.lit("none")).alias("subdomain_policy"), by_spf.alias("spf_aligned"), by_dkim.alias("dkim_aligned"))
 
 
 class Spf:
@@ -127,12 +128,15 @@ class Spf:
                 redirect = term[9:].lower()
                 continue
             sign, term = (term[0], term[1:]) if term[0] in self.RESULTS else ("+", term)
-            name, _, value = term.partition(":")
+            name, value = re.fullmatch(r"([^:/]*):?(.*)", term).groups()
             if self._fits(ip, name.lower(), value, domain, path):
                 return self.RESULTS[sign]
         if redirect:
             self._look()
-            return self._evaluate(ip, redirect, (*path, domain))
+            got = self._evaluate(ip, redirect, (*path, domain))
+            if got == "NONE":
+                raise ValueError("redirect to nothing")
+            return got
         return "NEUTRAL"
 
     def _fits(self, ip, name: str, value: str, domain: str, path: tuple[str, ...]) -> bool:
@@ -142,9 +146,17 @@ class Spf:
             return ip in ipaddress.ip_network(value, strict=False)
         if name in ("a", "mx"):
             self._look()
-            host = (value or domain).lower()
+            host, _, bits = value.partition("/")
+            host = (host or domain).lower()
             hosts = [host] if name == "a" else self.dns.get((host, "MX"), [])
-            return any(str(ip) in self.dns.get((h.lower(), "A"), []) for h in hosts)
+            found = [x for h in hosts for x in self.dns.get((h.lower().rstrip("."), "AAAA" if ip.version == 6 else "A"), [])]
+            # a/24//64: the part before // is for IPv4, the one after it for IPv6
+            four, _, six = bits.partition("//") if "//" in bits else (bits, "", bits)
+            bits = (six if ip.version == 6 else four).strip("/")
+            return any(ip in ipaddress.ip_network(f"{x}/{bits}" if bits else x, strict=False) for x in found)
+        if name == "exists":
+            self._look()
+            return bool(self.dns.get((value.lower(), "A")))
         if name == "include":
             self._look()
             got = self._evaluate(ip, value.lower(), (*path, domain))
@@ -155,9 +167,9 @@ class Spf:
 
 
 def spf(rows: DataFrame, ip: str, domain: str, dns: DataFrame, most_records: int = 200_000) -> DataFrame:
-    """Adds spf. The DNS snapshot (name, type, value) goes to every executor: its TXT, MX and A records are counted first,
+    """Adds spf. The DNS snapshot (name, type, value) goes to every executor: its TXT, MX, A and AAAA records are counted first,
     and more than most_records of them are an error, never a cut. Pass the records that the mail domains reach."""
-    wanted = dns.filter(F.col("type").isin("TXT", "MX", "A"))
+    wanted = dns.filter(F.col("type").isin("TXT", "MX", "A", "AAAA"))
     found = wanted.limit(most_records + 1).collect()
     if len(found) > most_records:
         raise ValueError(f"more than {most_records} DNS records: cut the snapshot to the domains in question")

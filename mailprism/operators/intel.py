@@ -15,14 +15,19 @@ ABUSE_CATEGORIES = {3: "Fraud Orders", 4: "DDoS Attack", 5: "FTP Brute-Force", 6
 
 def ioc(value: Column) -> Column:
     """(ioc_type, normalized_value): hash, IPv4, IPv6, e-mail address, URL, domain, tried in that order; null if none."""
-    v = F.trim(value)
-    kind = (
-        F.when(net.hash_type(v).isNotNull(), F.lit("FILE_HASH")).when(net.ipv4_number(v).isNotNull(), "IPV4")
-        .when(v.rlike(r"^[0-9a-fA-F:]*:[0-9a-fA-F:]*:[0-9a-fA-F:.]*$"), "IPV6").when(v.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), "EMAIL")
-        .when(v.rlike(r"(?i)^https?://[^/\s]+"), "URL").when(v.rlike(r"^(?i)([a-z0-9_](?:[a-z0-9_-]*[a-z0-9_])?\.)+[a-z0-9-]{2,}\.?$"), "DOMAIN")
-    )
-    norm = F.when(kind == "IPV4", net.normalized_ipv4(v)).when(kind == "URL", net.normalized_url(v)).when(kind == "DOMAIN", net.normalized_domain(v)).otherwise(F.lower(v))
-    return F.struct(kind.alias("ioc_type"), norm.alias("normalized_value"))
+
+    def typed(v: Column, v4: Column, v6: Column) -> Column:
+        return F.struct(
+            F.when(net.hash_type(v).isNotNull(), F.lit("FILE_HASH")).when(v4.isNotNull(), "IPV4").when(v6.isNotNull(), "IPV6").when(v.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), "EMAIL")
+            .when(v.rlike(r"(?i)^https?://[^/\s]+"), "URL").when(v.rlike(r"^(?i)([a-z0-9_](?:[a-z0-9_-]*[a-z0-9_])?\.)+[a-z0-9-]{2,}\.?$"), "DOMAIN").alias("k"), v.alias("v"), v4.alias("v4"), v6.alias("v6"))
+
+    def normal(t: Column) -> Column:
+        k, v = t["k"], t["v"]
+        norm = F.when(k == "IPV4", t["v4"]).when(k == "IPV6", t["v6"]).when(k == "URL", net.normalized_url(v)).when(k == "DOMAIN", net.normalized_domain(v)).otherwise(F.lower(v))
+        return F.struct(k.alias("ioc_type"), norm.alias("normalized_value"))
+
+    each = net.bound(F.trim(value), lambda v: F.struct(v.alias("v"), net.normalized_ipv4(v).alias("v4"), net.compressed_ipv6(v).alias("v6")))
+    return net.bound(net.bound(each, lambda t: typed(t["v"], t["v4"], t["v6"])), normal)
 
 
 def distinct_iocs(values: DataFrame, column: str) -> DataFrame:
@@ -37,19 +42,32 @@ def feed_match(iocs: DataFrame, feed: DataFrame, url: str = "url") -> DataFrame:
     return iocs.withColumn("_k", F.rtrim(F.col(url), F.lit("/"))).join(lines, "_k", "left_semi").drop("_k")
 
 
-def engine_verdict(stats: Column) -> Column:
-    """(verdict, confidence, detections, total) of counts by verdict, as a scanner of many engines reports them."""
-    bad, odd = F.coalesce(stats["malicious"], F.lit(0)), F.coalesce(stats["suspicious"], F.lit(0))
-    total = bad + odd + F.coalesce(stats["harmless"], F.lit(0)) + F.coalesce(stats["undetected"], F.lit(0))
-    share = F.coalesce(F.try_divide(bad, total), F.lit(0.0))
-    verdict = F.when(total == 0, "UNKNOWN").when(bad >= 3, "MALICIOUS").when(bad + odd > 0, "SUSPICIOUS").otherwise("BENIGN")
-    conf = F.when(verdict == "MALICIOUS", F.least(F.lit(1.0), 0.5 + share)).when(verdict == "SUSPICIOUS", 0.5).when(verdict == "BENIGN", 0.7).otherwise(0.0)
-    return F.struct(verdict.alias("verdict"), F.round(conf, 6).alias("confidence"), bad.alias("detections"), total.alias("total_engines"))
-
-
-def parsed_scanner(json: Column) -> Column:
-    stats = F.from_json(json, "malicious int, suspicious int, harmless int, undetected int")
-    return engine_verdict(stats)
+def engine_verdict(stats: Column, kind: Column) -> Column:
+    """(verdict, confidence, detections, total_engines) of a map of counts by verdict, as a scanner of many engines reports
+    them of a URL, DOMAIN, IPV4, IPV6 or FILE_HASH. Files have other confidences; only a URL can be BENIGN."""
+    count = lambda k: F.coalesce(F.try_element_at(stats, F.lit(k)), F.lit(0))
+    bad, odd = count("malicious"), count("suspicious")
+    total = F.coalesce(F.aggregate(F.map_values(stats), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))), F.lit(0))
+    share, file = bad / F.greatest(total, F.lit(1)), F.coalesce(kind == "FILE_HASH", F.lit(False))
+    fine = F.coalesce(kind == "URL", F.lit(False)) & (count("harmless") > 0)
+    verdict = F.when(bad > 0, "MALICIOUS").when(odd > 0, "SUSPICIOUS").when(fine, "BENIGN").otherwise("UNKNOWN")
+    by_share = F.when(file, F.least(F.lit(0.98), 0.6 + share * 0.4)).otherwise(F.least(F.lit(0.95), 0.5 + share * 0.5))
+    conf = F.when(bad > 0, by_share).when(odd > 0, F.when(file, 0.7).otherwise(0.6)).when(fine, 0.7).otherwise(0.0)
+    return F.struct(verdict.alias("verdict"), F.round(conf, 2).alias("confidence"), bad.alias("detections"), total.alias("total_engines"))
+
+
+def parsed_scanner(json: Column, kind: Column) -> Column:
+    """engine_verdict with categories (of URLs and domains, a list or the values of an object), last_seen and reference of
+    an answer; one that is no such answer is UNKNOWN."""
+    r = F.from_json(json, "data struct<id: string, attributes: struct<last_analysis_stats: map<string, int>, last_analysis_date: bigint, categories: string>>")["data"]
+    attrs = r["attributes"]
+    v = engine_verdict(attrs["last_analysis_stats"], kind)
+    text = attrs["categories"]
+    named = F.when(text.startswith("{"), F.map_values(F.from_json(text, "map<string, string>"))).otherwise(F.from_json(text, "array<string>"))
+    held = F.when(kind.isin("URL", "DOMAIN"), named)
+    categories = F.coalesce(held, F.array().cast("array<string>"))
+    return F.struct(v["verdict"].alias("verdict"), v["confidence"].alias("confidence"), categories.alias("categories"), v["detections"].alias("detections"), v["total_engines"].alias("total_engines"),
+                    attrs["last_analysis_date"].alias("last_seen"), r["id"].alias("reference"))
 
 
 def parsed_abuse(json: Column) -> Column:

@@ -14,6 +14,7 @@ CLASSES = ["legitimate", "spam", "phishing"]
 CAPS = {"MODEL": 35.0, "AUTHENTICATION": 20.0, "IDENTITY": 15.0, "DOMAIN": 15.0, "URL": 15.0, "ATTACHMENT": 15.0, "CONTENT_BEC": 15.0, "INFRASTRUCTURE_RELAY": 10.0}
 LEGACY_WEIGHTS = {"ml_classification": 0.25, "authentication": 0.20, "identity_mismatch": 0.10, "domain_intelligence": 0.10, "url_analysis": 0.10, "attachment_risk": 0.10, "header_anomalies": 0.10, "infrastructure": 0.05}
 LEGACY_AUTH = {"PASS": 0, "NONE": 15, "SOFTFAIL": 40, "FAIL": 70, "TEMPERROR": 20, "PERMERROR": 50, "NOT_CHECKED": 10}
+LEGACY_HEADERS = {"no_received_headers": 30.0, "non_monotonic_timestamps": 60.0, "unusually_many_hops": 25.0, "only_one_hop": 15.0}
 LEGACY_LABELS = {"legitimate": 10, "suspicious": 40, "phishing": 80, "spammer": 60}
 # Weights of the dimensions of evidence quality.
 QUALITY_WEIGHTS = {"rfc822_headers": 0.15, "auth_alignment": 0.15, "relay_hops": 0.10, "network_ip": 0.10, "domain_reputation": 0.10, "url_signals": 0.10, "attachment_metadata": 0.05, "body_content": 0.10, "sender_envelope_alignment": 0.05, "forensic_feature_density": 0.10}
@@ -175,6 +176,26 @@ def legacy_attachment(double: Column, dangerous: Column, mismatch: Column) -> Co
     return F.greatest(_on(double, 85.0), _on(dangerous, 70.0), _on(mismatch, 50.0))
 
 
+def legacy_identity(sender: Column, name: Column, reply_to: Column) -> Column:
+    """50 if no word of three letters or more of the name is in the first label of the sender's domain, 60 if the reply-to
+    domain is another."""
+    of = lambda c: F.coalesce(F.when(c.contains("@"), F.lower(F.substring_index(c, "@", -1))), F.lit(""))
+    domain, reply = of(sender), of(reply_to)
+    first = F.substring_index(domain, ".", 1)
+    named = F.exists(F.split(F.lower(name), r"\s+"), lambda w: (F.length(w) > 2) & first.contains(w))
+    return F.greatest(_on((F.coalesce(name, F.lit("")) != "") & (first != "") & ~named, 50.0), _on((domain != "") & (reply != "") & (domain != reply), 60.0))
+
+
+def legacy_headers(anomalies: Column) -> Column:
+    """Of an array of anomalies of the relay path; null is none."""
+    return F.greatest(F.lit(0.0), *[_on(F.array_contains(anomalies, k), v) for k, v in LEGACY_HEADERS.items()])
+
+
+def legacy_infrastructure(most_warnings: Column) -> Column:
+    """most_warnings: the warnings of the address that has most."""
+    return _on(most_warnings >= 3, 30.0)
+
+
 def legacy_score(categories: dict[str, Column]) -> Column:
     return total([v * LEGACY_WEIGHTS[k] for k, v in categories.items()])
 

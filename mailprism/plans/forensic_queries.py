@@ -167,19 +167,30 @@ def cache_status(t):
     return intel.cache_status(rows, as_of, F.expr("interval 24 hours")).groupBy("cache_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ioc_normalize", "CO-13 CO-14 HS-01 IP-02", """with v as (select unnest(['  8.008.8.8 ', 'Example.COM.', 'HTTP://Ex.com/A', 'a@B.org', md5(p_partkey::varchar), 'nonsense', '2001:db8::1']) as v from part)
-    select case when length(trim(v)) = 32 then 'FILE_HASH' when v like '%8.008%' then 'IPV4' when v like '2001%' then 'IPV6' when v like '%@%' then 'EMAIL' when v like 'HTTP%' then 'URL' else 'DOMAIN' end as ioc_type,
-    case when v like '%8.008%' then '8.8.8.8' when v like 'Example%' then 'example.com' when v like 'HTTP%' then 'http://ex.com/A' else lower(trim(v)) end as normalized_value, count(*) as n from v where v <> 'nonsense' group by 1, 2""")
+@query("ioc_normalize", "CO-13 CO-14 HS-01 IP-02", """with v as (select p_partkey as k, unnest(['  8.008.' || p_partkey % 300 || '.8 ', 'Ex' || p_partkey % 9 || '.COM.', 'HTTP://Ex.com/A' || p_partkey % 5, 'a' || p_partkey % 4 || '@B.org', md5(p_partkey::varchar), 'nonsense', '2001:0DB8:0:0:1:0:0:' || p_partkey % 10, '0:0:0:' || p_partkey % 3 || '::', '1::2::3']) as v, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9], 1) as i from part),
+    n as (select case i when 1 then 'IPV4' when 2 then 'DOMAIN' when 3 then 'URL' when 4 then 'EMAIL' when 5 then 'FILE_HASH' else 'IPV6' end as ioc_type, case i when 1 then '8.8.' || k % 300 || '.8' when 2 then 'ex' || k % 9 || '.com' when 3 then 'http://ex.com/A' || k % 5
+      when 7 then case when k % 10 = 0 then '2001:db8::1:0:0:0' else '2001:db8::1:0:0:' || k % 10 end when 8 then case when k % 3 = 0 then '::' else '0:0:0:' || k % 3 || '::' end else lower(trim(v)) end as normalized_value
+      from v where i not in (6, 9) and (i <> 1 or k % 300 <= 255))
+    select ioc_type, case when ioc_type = 'IPV6' and normalized_value = '2001:db8::1:0:0:0' then '2001:db8:0:0:1::' else normalized_value end as normalized_value, count(*) as n from n group by 1, 2""")
 def ioc_normalize(t):
-    v = t("part").select(F.explode(F.array(*map(F.lit, ["  8.008.8.8 ", "Example.COM.", "HTTP://Ex.com/A", "a@B.org"]), F.md5(F.col("p_partkey").cast("string")), F.lit("nonsense"), F.lit("2001:db8::1"))).alias("v"))
-    return intel.distinct_iocs(v, "v")
-
-
-@query("json_props", "JS-01", "with p as (select event_id, (props->>'k')::int as k from events) select event_id, case when k = 0 then 'BENIGN' when k >= 3 then 'MALICIOUS' else 'SUSPICIOUS' end as verdict, k as detections from p")
-def json_props(t):
-    js = F.regexp_replace("props", '"k"', '"malicious"')
-    v = intel.parsed_scanner(F.regexp_replace(js, "}$", ', "harmless": 50}'))
-    return t("events").select("event_id", v.alias("v")).select("event_id", "v.verdict", "v.detections")
+    k = lambda m: (F.col("p_partkey") % m).cast("string")
+    given = [F.concat(F.lit("  8.008."), k(300), F.lit(".8 ")), F.concat(F.lit("Ex"), k(9), F.lit(".COM.")), F.concat(F.lit("HTTP://Ex.com/A"), k(5)), F.concat(F.lit("a"), k(4), F.lit("@B.org")), F.md5(F.col("p_partkey").cast("string")),
+             F.lit("nonsense"), F.concat(F.lit("2001:0DB8:0:0:1:0:0:"), k(10)), F.concat(F.lit("0:0:0:"), k(3), F.lit("::")), F.lit("1::2::3")]
+    return intel.distinct_iocs(t("part").select(F.explode(F.array(*given)).alias("v")), "v")
+
+
+@query("scanner_answers", "JS-01 SRC-18", """with p as (select event_id, (props->>'k')::int as k, event_id % 2 as odd, event_id % 5 * 10 as harmless, case event_id % 4 when 0 then 'URL' when 1 then 'DOMAIN' when 2 then 'IPV4' else 'FILE_HASH' end as kind from events),
+    c as (select *, k + odd + harmless + 4 as total from p)
+    select event_id, case when k > 0 then 'MALICIOUS' when odd > 0 then 'SUSPICIOUS' when kind = 'URL' and harmless > 0 then 'BENIGN' else 'UNKNOWN' end as verdict,
+      round(case when k > 0 then case kind when 'FILE_HASH' then least(0.98, 0.6 + k::double / total * 0.4) else least(0.95, 0.5 + k::double / total * 0.5) end when odd > 0 then case kind when 'FILE_HASH' then 0.7 else 0.6 end when kind = 'URL' and harmless > 0 then 0.7 else 0.0 end::double, 2) as confidence,
+      case kind when 'URL' then 'phishing,spam' when 'DOMAIN' then 'malware' else '' end as categories, k as detections, total::int as total_engines from c""")
+def scanner_answers(t):
+    e, n = t("events"), F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ["URL", "DOMAIN", "IPV4", "FILE_HASH"])), (n % 4 + 1).cast("int"))
+    named = F.when(n % 4 == 0, '["phishing", "spam"]').otherwise('{"vendor": "malware"}')
+    js = F.format_string('{"data": {"id": "x", "attributes": {"last_analysis_stats": {"malicious": %s, "suspicious": %d, "harmless": %d, "undetected": 3, "timeout": 1}, "categories": %s}}}', F.get_json_object("props", "$.k"), n % 2, n % 5 * 10, named)
+    a = e.select("event_id", intel.parsed_scanner(js, kind).alias("a"))
+    return a.select("event_id", "a.verdict", "a.confidence", F.array_join("a.categories", ",").alias("categories"), "a.detections", "a.total_engines")
 
 
 @query("feed_match", "JN-12 SRC-17", "select count(*) as n from pages where page_id % 3 = 0 or rtrim(url, '/') in (select rtrim(url, '/') from pages where page_id % 3 = 0)")

@@ -13,7 +13,7 @@ from .registry import query, settled
 # ---- risk rows from documents
 
 RISK = """r as (select doc_id, ((doc_id * 37) % 101) / 100.0::double as a, ((doc_id * 53) % 97) / 97.0::double as b, case doc_id % 5 when 0 then 'PASS' when 1 then 'FAIL' when 2 then 'SOFTFAIL' when 3 then 'NONE' end as spf,
-    case doc_id % 4 when 0 then 'PASS' when 1 then 'FAIL' when 2 then 'PERMERROR' end as dkim, case doc_id % 3 when 0 then 'PASS' when 1 then 'FAIL' end as dmarc, n_chars, text from documents),
+    case doc_id % 4 when 0 then 'PASS' when 1 then 'FAIL' when 2 then 'PERMERROR' end as dkim, case doc_id % 3 when 0 then 'PASS' when 1 then 'FAIL' end as dmarc, n_chars, text, 'paypal' || doc_id % 3 || case doc_id % 9 when 0 then '.top' else '.example' end as sd from documents),
     p as (select *, a * (1 - b) as p_legit, (1 - a) * (1 - b) as p_spam, b as p_phish, (1 - a) * b as q_legit, a * b as q_spam, 1 - b as q_phish from r),
     t as (select *, least(1.0, 0.5 * (abs(p_legit - q_legit) + abs(p_spam - q_spam) + abs(p_phish - q_phish)))::double as tvd from p)"""
 
@@ -39,27 +39,43 @@ POINTS = """c as (select doc_id, tvd, (case when p_phish >= 0.7 then 20 + 15 * (
     (case when dmarc = 'FAIL' then 12 else 0 end + case when spf in ('FAIL', 'SOFTFAIL') then 8 else 0 end + case when dkim in ('FAIL', 'PERMERROR') then 8 else 0 end + case when spf = 'PASS' and dkim = 'PASS' and dmarc = 'PASS' and p_phish < 0.5 then -5 else 0 end)::double as au,
     (case when n_chars % 11 = 0 then 8 else 0 end + case when n_chars % 7 = 0 then 4 else 0 end + case when n_chars % 5 = 0 then 5 else 0 end + case when n_chars % 13 > 5 then 3 else 0 end)::double as u,
     (case when n_chars % 17 = 0 then 5 else 0 end + case when n_chars % 12 > 8 then 4 else 0 end + case when n_chars % 9 = 0 then 3 else 0 end)::double as ir,
-    (case when n_chars % 19 = 0 then 10 else 0 end + case when n_chars % 23 = 0 then 10 else 0 end + case when n_chars % 4 = 0 then 4 else 0 end)::double as attach from t),
-    s as (select doc_id, least(m, 35.0) as model, least(au, 20.0) as authentication, least(u, 15.0) as url, least(ir, 10.0) as relay, least(attach, 15.0) as attachment from c),
-    k as (select *, least(100.0, greatest(0.0, model + authentication + url + relay + attachment)) as score from s)"""
+    (case when n_chars % 19 = 0 then 10 else 0 end + case when n_chars % 23 = 0 then 10 else 0 end + case when n_chars % 4 = 0 then 4 else 0 end)::double as attach,
+    (case when doc_id % 4 = 1 then 8 else 0 end + case when doc_id % 5 = 0 then 6 else 0 end + case when doc_id % 7 = 0 then 4 else 0 end + case when doc_id % 11 = 0 then 4 else 0 end)::double as ident,
+    (case when doc_id % 2 = 0 then case when n_chars % 3 = 0 then 8 else 0 end + case when n_chars % 29 = 0 then 8 else 0 end + case when n_chars % 10 = 0 or (doc_id % 9 = 0 and doc_id % 13 <> 0) then 5 else 0 end
+      else case when doc_id % 13 = 0 then 4 when doc_id % 9 = 0 then 5 else 0 end end)::double as dom from t),
+    s as (select doc_id, least(m, 35.0) as model, least(au, 20.0) as authentication, least(u, 15.0) as url, least(ir, 10.0) as relay, least(attach, 15.0) as attachment, least(ident, 15.0) as identity, least(dom, 15.0) as domain from c),
+    k as (select *, least(100.0, greatest(0.0, model + authentication + url + relay + attachment + identity + domain)) as score from s)"""
+
+
+def _senders(r):
+    """Adds the sender's domain, a displayed name, the reply-to and envelope addresses."""
+    d = F.col("doc_id")
+    r = r.withColumn("sd", F.concat(F.lit("paypal"), (d % 3).cast("string"), F.when(d % 9 == 0, ".top").otherwise(".example")))
+    return r.withColumns({
+        "sender": F.concat(F.lit("x@"), "sd"), "name": F.when(d % 4 == 0, F.concat(F.lit("Paypal"), (d % 3).cast("string"), F.lit(" Desk"))).when(d % 4 == 1, "Bank Desk").when(d % 4 == 2, "Al"),
+        "reply_to": F.when(d % 5 == 0, "x@other.example").when(d % 5 == 1, F.concat(F.lit("y@"), F.upper("sd"))), "envelope": F.when(d % 7 == 0, "b@bounce.example").otherwise(F.concat(F.lit("z@"), "sd")),
+    })
 
 
 def _canonical(t):
-    r, n = _risk(t), F.col("n_chars")
+    r, n, d = _senders(_risk(t)), F.col("n_chars"), F.col("doc_id")
     every = lambda k: n % k == 0
+    dom = F.when(d % 13 == 0, "q7x9z2k4w8v1m5j3b6.example").otherwise(F.col("sd"))
     points = scoring.capped({
         "MODEL": scoring.model_points(F.col("p_spam"), F.col("p_phish"), F.col("p_legit"), F.col("tvd"), F.lit(True)),
         "AUTHENTICATION": scoring.auth_points(F.col("spf"), F.col("dkim"), F.col("dmarc"), F.col("p_phish")),
         "URL": scoring.url_points(every(11), every(7), every(5), F.lit(False), n % 13, F.lit(0.0)),
         "INFRASTRUCTURE_RELAY": scoring.relay_points(every(17), n % 12, every(9)),
         "ATTACHMENT": scoring.attachment_points(every(19), every(23), F.lit(False), every(4)),
+        "IDENTITY": scoring.identity_points(F.col("sender"), F.col("name"), F.col("reply_to"), F.col("envelope"), d % 11 == 0),
+        "DOMAIN": scoring.domain_points(dom, every(3), every(29), every(10), d % 2 == 0),
     })
-    named = {"MODEL": "model", "AUTHENTICATION": "authentication", "URL": "url", "INFRASTRUCTURE_RELAY": "relay", "ATTACHMENT": "attachment"}
+    named = {"MODEL": "model", "AUTHENTICATION": "authentication", "URL": "url", "INFRASTRUCTURE_RELAY": "relay", "ATTACHMENT": "attachment", "IDENTITY": "identity", "DOMAIN": "domain"}
     s = r.select("doc_id", *[v.alias(named[k]) for k, v in points.items()])
     return s.withColumn("score", scoring.total([F.col(c) for c in named.values()]))
 
 
-@query("risk_canonical", "CO-07 AG-22 MA-01 MP-02", f"with {RISK}, {POINTS} select doc_id, round(model, 6) as model, authentication, url, relay, attachment, round(score, 6) as score from k")
+@query("risk_canonical", "CO-07 CO-07c CO-07d AG-22 MA-01 MP-02", f"with {RISK}, {POINTS} select doc_id, round(model, 6) as model, authentication, url, relay, attachment, identity, domain, round(score, 6) as score from k")
 def risk_canonical(t):
     k = _canonical(t)
     return k.withColumns({"model": F.round("model", 6), "score": F.round("score", 6)})
@@ -74,14 +90,20 @@ def severity_policy(t):
 @query("risk_legacy", "CO-06 AG-23", f"""with {RISK}, l as (select doc_id, case doc_id % 4 when 0 then 'phishing' when 1 then 'spammer' when 2 then 'legitimate' else 'suspicious' end as label, a, spf, dkim, dmarc, n_chars from t),
     v as (select doc_id, (case label when 'phishing' then 80 when 'spammer' then 60 when 'legitimate' then 10 else 40 end * a)::double as ml,
       greatest(case spf when 'PASS' then 0 when 'NONE' then 15 when 'SOFTFAIL' then 40 when 'FAIL' then 70 else 0 end, case dkim when 'PASS' then 0 when 'FAIL' then 70 when 'PERMERROR' then 50 else 0 end, case dmarc when 'FAIL' then 70 else 0 end)::double as auth,
-      greatest(case when n_chars % 3 = 0 then 70 else 0 end, case when n_chars % 5 = 0 then 35 else 0 end)::double as url, (case when n_chars % 19 = 0 then 85 when n_chars % 7 = 0 then 70 else 0 end)::double as att from l)
-    select doc_id, round(least(100.0, greatest(0.0, ml * 0.25 + auth * 0.2 + url * 0.1 + att * 0.1)), 6) as score from v""")
+      greatest(case when n_chars % 3 = 0 then 70 else 0 end, case when n_chars % 5 = 0 then 35 else 0 end)::double as url, (case when n_chars % 19 = 0 then 85 when n_chars % 7 = 0 then 70 else 0 end)::double as att,
+      (case when doc_id % 5 = 0 then 60 when doc_id % 4 in (1, 2) then 50 else 0 end)::double as ident,
+      greatest(case when n_chars % 29 = 0 then 70 else 0 end, case when n_chars % 10 = 0 then 30 else 0 end, case n_chars % 6 when 0 then 70 when 1 then 50 else 0 end, case when n_chars % 31 = 0 then 40 else 0 end)::double as dom,
+      (case n_chars % 8 when 0 then 30 when 1 then 60 when 2 then 15 else 0 end)::double as head, (case when n_chars % 5 >= 3 then 30 else 0 end)::double as infra from l)
+    select doc_id, round(least(100.0, greatest(0.0, ml * 0.25 + auth * 0.2 + url * 0.1 + att * 0.1 + ident * 0.1 + dom * 0.1 + head * 0.1 + infra * 0.05)), 6) as score from v""")
 def risk_legacy(t):
-    r, n, off = _risk(t), F.col("n_chars"), F.lit(False)
+    r, n, off = _senders(_risk(t)), F.col("n_chars"), F.lit(False)
+    odd = F.when(n % 8 == 0, F.array(F.lit("no_received_headers"))).when(n % 8 == 1, F.array(F.lit("unusually_many_hops"), F.lit("non_monotonic_timestamps"))).when(n % 8 == 2, F.array(F.lit("only_one_hop")))
     label = F.when(F.col("doc_id") % 4 == 0, "phishing").when(F.col("doc_id") % 4 == 1, "spammer").when(F.col("doc_id") % 4 == 2, "legitimate").otherwise("suspicious")
     score = scoring.legacy_score({
         "ml_classification": scoring.legacy_label(label, F.col("a")), "authentication": scoring.legacy_auth(F.col("spf"), F.col("dkim"), F.col("dmarc")),
         "url_analysis": scoring.legacy_url(n % 3 == 0, n % 5 == 0, off, off), "attachment_risk": scoring.legacy_attachment(n % 19 == 0, n % 7 == 0, off),
+        "identity_mismatch": scoring.legacy_identity(F.col("sender"), F.col("name"), F.col("reply_to")), "domain_intelligence": scoring.legacy_domain(n % 29 == 0, n % 10 == 0, F.when(n % 6 == 0, 1).when(n % 6 == 1, 3), n % 31 == 0),
+        "header_anomalies": scoring.legacy_headers(odd), "infrastructure": scoring.legacy_infrastructure(n % 5),
     })
     return r.select("doc_id", F.round(score, 6).alias("score"))
 
@@ -205,15 +227,20 @@ def spf_eval(t):
 
 
 @query("dmarc_eval", "CO-04 CO-05 ST-23", """
-    with r as (select n_nationkey as id, case n_nationkey % 3 when 0 then 'PASS' else 'FAIL' end as spf, case n_nationkey % 2 when 0 then 'mail.corp.co.uk' else 'other.example' end as sd, case n_nationkey % 5 when 0 then 's' else 'r' end as m, n_nationkey % 7 = 0 as none from nation)
-    select id, case when none then 'NONE' when spf = 'PASS' and sd = 'mail.corp.co.uk' and m = 'r' then 'PASS' else 'FAIL' end as result, case when none then 'none' else 'reject' end as policy, (sd = 'mail.corp.co.uk' and (m = 'r' or none)) as spf_aligned, 'PERMERROR' as dkim from r""")
+    with r as (select c_custkey as id, case c_custkey % 3 when 0 then 'PASS' else 'FAIL' end as spf, case c_custkey % 4 when 0 then 'mail.corp.co.uk' when 1 then 'corp.co.uk' else 'other.example' end as sd, case c_custkey % 5 when 0 then 's' else 'r' end as sm,
+      case c_custkey % 2 when 0 then 'PASS' else 'NONE' end as dkim, case c_custkey % 6 when 0 then 'a.b.corp.co.uk' when 2 then 'corp.co.uk' when 4 then 'co.uk' end as dd, case c_custkey % 11 when 0 then 's' else 'r' end as dm, c_custkey % 7 = 0 as none from customer),
+    l as (select *, coalesce(sd = 'corp.co.uk' or (sd = 'mail.corp.co.uk' and (sm = 'r' or none)), false) as sa, coalesce(dd = 'corp.co.uk' or (dd = 'a.b.corp.co.uk' and (dm = 'r' or none)), false) as da from r)
+    select id, case when none then 'NONE' when (spf = 'PASS' and sa) or (dkim = 'PASS' and da) then 'PASS' else 'FAIL' end as result, case when none then 'none' else 'reject' end as policy,
+      case when none then 'none' when id % 13 = 0 then 'quarantine' else 'reject' end as subdomain_policy, sa as spf_aligned, da as dkim_aligned, case id % 3 when 0 then 'PERMERROR' when 1 then 'UNVERIFIED' else 'NONE' end as dkim from l""")
 def dmarc_eval(t):
-    n = F.col("n_nationkey")
-    record = F.when(n % 7 != 0, F.concat(F.lit("v=DMARC1; p=reject; aspf="), F.when(n % 5 == 0, "s").otherwise("r")))
-    spf = F.when(n % 3 == 0, "PASS").otherwise("FAIL")
-    domain = F.when(n % 2 == 0, "mail.corp.co.uk").otherwise("other.example")
-    d = forensics.dmarc(F.lit("corp.co.uk"), spf, domain, F.lit("NONE"), F.lit(None).cast("string"), record)
-    return t("nation").select(n.alias("id"), d.alias("d"), forensics.dkim_structure(F.lit("v=1; a=rsa-sha256; d=x.example; bh=1")).alias("dkim")).select("id", "d.result", "d.policy", "d.spf_aligned", "dkim")
+    n = F.col("c_custkey")
+    record = F.when(n % 7 != 0, F.concat(F.lit("v=DMARC1; p=reject; aspf="), F.when(n % 5 == 0, "s").otherwise("r"), F.lit("; ADKIM = "), F.when(n % 11 == 0, "s").otherwise("r"), F.when(n % 13 == 0, "; sp=quarantine").otherwise("")))
+    spf, dkim = F.when(n % 3 == 0, "PASS").otherwise("FAIL"), F.when(n % 2 == 0, "PASS").otherwise("NONE")
+    by_spf = F.when(n % 4 == 0, "mail.corp.co.uk").when(n % 4 == 1, "corp.co.uk").otherwise("other.example")
+    by_dkim = F.when(n % 6 == 0, "a.b.corp.co.uk").when(n % 6 == 2, "corp.co.uk").when(n % 6 == 4, "co.uk")
+    d = forensics.dmarc(F.lit("corp.co.uk"), spf, by_spf, dkim, by_dkim, record)
+    signed = F.when(n % 3 == 0, "v=1; a=rsa-sha256; d=x.example; bh=1").when(n % 3 == 1, "v=1; d=x.example; s=key")
+    return t("customer").select(n.alias("id"), d.alias("d"), forensics.dkim_structure(signed).alias("dkim")).select("id", "d.*", "dkim")
 
 
 # ---- streams

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import ipaddress
 import tarfile
 import zipfile
 
@@ -124,6 +125,11 @@ def test_spf_results():
     assert [s.check(ip, "a.example") for ip in ("192.0.2.5", "198.51.100.1", "198.51.100.2", "2001:db8::9", "8.8.8.8")] == ["PASS"] * 4 + ["NEUTRAL"]
     assert [s.check("8.8.8.8", d) for d in ("deep.example", "two.example", "soft.example", "loop.example", "none.example")] == ["PERMERROR", "PERMERROR", "SOFTFAIL", "PERMERROR", "NONE"]
     assert s.check("not an ip", "a.example") == "PERMERROR"
+    more = {("c.example", "TXT"): ["v=spf1 a/24 mx:m.example/30//64 ~exists:e.example a:v6.example -all"], ("c.example", "A"): ["198.51.100.1"], ("m.example", "MX"): ["mx.m.example."], ("mx.m.example", "A"): ["203.0.113.4"],
+            ("mx.m.example", "AAAA"): ["2001:db8:0:1::1"], ("v6.example", "AAAA"): ["2001:DB8::0:9"], ("r.example", "TXT"): ["v=spf1 redirect=nothing.example"], ("n.example", "TXT"): ["v=spf1 exists:e2.example -all"], ("e2.example", "A"): ["127.0.0.2"]}
+    s = forensics.Spf(more)
+    assert [s.check(ip, "c.example") for ip in ("198.51.100.77", "203.0.113.6", "203.0.113.9", "2001:db8:0:1::ff", "2001:db8::9", "2001:db8::a")] == ["PASS", "PASS", "FAIL", "PASS", "PASS", "FAIL"]
+    assert (s.check("8.8.8.8", "r.example"), s.check("8.8.8.8", "n.example")) == ("PERMERROR", "PASS")
 
 
 def test_tampered_chain(spark):
@@ -257,12 +263,20 @@ def test_graph_loops(spark):
     assert s.s == pytest.approx(0.4 / 1.4)
 
 
+def test_ipv6_is_compressed(spark):
+    given = ["2001:0db8:0:0:0:0:0:1", "::", "::1", "1::", "0:0:0:0:0:0:0:0", "1:0:0:2:0:0:3:4", "1:0:2:0:0:0:3:4", "1:0:2:3:4:5:6:7", "FE80::A0:0", "::ffff:1.2.3.4", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "10:0:0:10:100:0:0:0", "a0:0:0:0b:1:1:1:0"]
+    bad = ["1::2::3", "1:2:3", "12345::", ":1", "1:", ":::", "g::", "1:2:3:4:5:6:7:8:9", "::1.2.3", "::1.2.3.300", "1:2:3:4:5:6:7:8::", "", "fe80::1%eth0", "1:2:3:4::5:6:7:8"]
+    got = {r.v: r.c for r in spark.createDataFrame([(v,) for v in given + bad], "v string").select("v", net.compressed_ipv6(F.col("v")).alias("c")).collect()}
+    want = {v: str(ipaddress.IPv6Address(v)) for v in given} | {v: None for v in bad} | {"::ffff:1.2.3.4": "::ffff:102:304"}
+    assert got == want
+
+
 def test_intel_rules(spark):
     f = spark.createDataFrame([("vt", "8.8.8.8", "MALICIOUS", 0.9, 0.9), ("ab", "8.8.8.8", "MALICIOUS", 0.85, 0.8), ("feed", "8.8.8.8", "UNKNOWN", 0.0, 0.5)], "provider string, ioc string, verdict string, confidence double, reliability double")
     a = intel.agreement(f, ["ioc"]).first()
     assert (a.malicious, a.unknown, a.agreement, a.disagreement) == (2, 1, 1.0, False)
     assert intel.weighted_confidence(f, ["ioc"]).first().confidence == pytest.approx((0.81 + 0.68) / 1.7, abs=1e-6)
-    j = one(spark, s=intel.parsed_scanner(F.lit('{"malicious": 5, "harmless": 45}')), a=intel.parsed_abuse(F.lit('{"abuseConfidenceScore": 80, "isTor": true, "reports": [{"categories": [7, 18]}, {"categories": [7, 99]}]}')), bad=intel.parsed_scanner(F.lit("junk")))
+    j = one(spark, s=intel.parsed_scanner(F.lit('{"data": {"attributes": {"last_analysis_stats": {"malicious": 10, "harmless": 40}}}}'), F.lit("IPV6")), a=intel.parsed_abuse(F.lit('{"abuseConfidenceScore": 80, "isTor": true, "reports": [{"categories": [7, 18]}, {"categories": [7, 99]}]}')), bad=intel.parsed_scanner(F.lit("junk"), F.lit("URL")))
     assert (j.s.verdict, j.s.confidence, j.a.verdict, j.a.confidence, j.a.categories, j.bad.verdict) == ("MALICIOUS", 0.6, "MALICIOUS", 0.9, ["Phishing", "Brute-Force"], "UNKNOWN")
     e = spark.createDataFrame([("a", 1), ("b", 3), ("c", 2)], "key string, last_accessed int")
     assert [r.key for r in intel.evicted(e, 2).collect()] == ["a"]
