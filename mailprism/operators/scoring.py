@@ -281,11 +281,10 @@ def escalated(p: list[Column], q: list[Column], f: list[Column], quality: Column
 
 
 def meta_features(p: list[Column], q: list[Column], quality: Column, dimensions: list[Column]) -> Column:
-    """23 numbers: both distributions, their entropies, margins and distance, quality, its weight and dimensions."""
-    ent = lambda d: -reduce(add, [F.when(x > 0, x * F.log(x)).otherwise(0.0) for x in d])
-    margin = lambda d: F.element_at(F.sort_array(F.array(*d), asc=False), 1) - F.element_at(F.sort_array(F.array(*d), asc=False), 2)
-    same = (label_of(p) == label_of(q)).cast("double")
-    parts = [*p, *q, ent(p), ent(q), margin(p), margin(q), tvd(p, q), same, quality, *dimensions]
+    """25 numbers for ten dimensions: both distributions, quality, its weight, whether the models differ, the dimensions, and
+    the distributions times their weights."""
+    w = alpha(quality)
+    parts = [*p, *q, quality, w, (label_of(p) != label_of(q)).cast("double"), *dimensions, *[w * x for x in p], *[(1 - w) * x for x in q]]
     return F.array(*[x.cast("double") for x in parts])
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailprism.functions import net, text
-from mailprism.operators import corpus, correlation, features, forensics, graph, intel, metrics, ml, scoring
+from mailprism.operators import corpus, correlation, features, forensics, fusion, graph, intel, metrics, ml, scoring
 from mailprism.plans.mail_queries import RAW
 from mailprism.plans.registry import settled
 from mailprism.sources import mime, tables
@@ -209,7 +209,20 @@ def test_scoring_identities(spark):
     assert (r.same, r.far, r.a0, r.a1, r.n) == (0.0, 1.0, 0.05, 0.7, [0.3333, 0.3333, 0.3334])
     assert r.odd[2] == 0.8 and r.cap == 35.0 and r.high == pytest.approx(35.0) and r.mit == -5.0 and r.ident == 18.0
     assert (r.legacy, r.none, r.dis, r.sm, r.text) == (50.0, 0.0, "FORENSIC_SPAM_SEMANTIC_PHISH", [0.5, 0.5], 1.0)
-    assert [x.p for x in r.top] == [9.0, 5.0] and r.meta == 23
+    assert [x.p for x in r.top] == [9.0, 5.0] and r.meta == 25
+
+
+def test_fusion_measures_and_cases(spark):
+    rows = [(1, "a\nb", [0.8, 0.1, 0.1], [0.1, 0.1, 0.8], [0.6, 0.1, 0.3], 0), (2, None, [0.8, 0.1, 0.1], [0.1, 0.1, 0.8], [0.1, 0.2, 0.7], 2), (3, "x" * 300, [0.8, 0.1, 0.1], [0.1, 0.1, 0.8], [0.1, 0.1, 0.8], 2),
+            (4, "t", [0.1, 0.8, 0.1], [0.8, 0.1, 0.1], [0.1, 0.1, 0.8], 2), (5, "t", [0.1, 0.8, 0.1], [0.8, 0.1, 0.1], [0.4, 0.5, 0.1], None), (6, "same", [0.1, 0.8, 0.1], [0.1, 0.8, 0.1], [0.1, 0.8, 0.1], 1)]
+    d = spark.createDataFrame(rows, "id long, text string, p array<double>, q array<double>, f array<double>, y int")
+    got = {r.id: (r.category, r.diagnosis, r.snippet, r.rank) for r in fusion.case_studies(d, "id", "text").collect()}
+    assert got == {1: ("FORENSIC_LEGIT_SEMANTIC_PHISH", "FORENSIC", "a b", 1), 2: ("FORENSIC_LEGIT_SEMANTIC_PHISH", "SEMANTIC", "", 2), 4: ("FORENSIC_SPAM_SEMANTIC_LEGIT", "COMPLEMENTARY", "t", 1), 5: ("FORENSIC_SPAM_SEMANTIC_LEGIT", "AMBIGUOUS", "t", 2)}
+    m = fusion.compared(d.filter("y is not null"), {"f": F.col("f"), "p": F.col("p")}, "y").collect()
+    assert {r.strategy: (r.n, r.accuracy, r.phishing_f1, r.legitimate_recall) for r in m} == {"f": (5, 1.0, 1.0, 1.0), "p": (5, 0.4, 0.0, 1.0)}
+    names = features.names()
+    held = fusion.conditions(names)["holdout"](spark.range(1).select(*[F.lit(5.0).alias(n) for n in names])).first()
+    assert (held.msg_header_count, held.auth_spf_result, held.msg_body_word_count) == (0.0, -1.0, 5.0) and len(fusion.conditions(names)) == 10
 
 
 # ---- graph, intel, metrics
