@@ -44,7 +44,8 @@ def feed_match(iocs: DataFrame, feed: DataFrame, url: str = "url") -> DataFrame:
 
 def engine_verdict(stats: Column, kind: Column) -> Column:
     """(verdict, confidence, detections, total_engines) of a map of counts by verdict, as a scanner of many engines reports
-    them of a URL, DOMAIN, IPV4, IPV6 or FILE_HASH. Files have other confidences; only a URL can be BENIGN."""
+    them of a URL, DOMAIN, IPV4, IPV6 or FILE_HASH. Files have other confidences; only a URL can be BENIGN. Confidence has two
+    digits, decimal halves rounded up."""
     count = lambda k: F.coalesce(F.try_element_at(stats, F.lit(k)), F.lit(0))
     bad, odd = count("malicious"), count("suspicious")
     total = F.coalesce(F.aggregate(F.map_values(stats), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))), F.lit(0))
@@ -53,7 +54,7 @@ def engine_verdict(stats: Column, kind: Column) -> Column:
     verdict = F.when(bad > 0, "MALICIOUS").when(odd > 0, "SUSPICIOUS").when(fine, "BENIGN").otherwise("UNKNOWN")
     by_share = F.when(file, F.least(F.lit(0.98), 0.6 + share * 0.4)).otherwise(F.least(F.lit(0.95), 0.5 + share * 0.5))
     conf = F.when(bad > 0, by_share).when(odd > 0, F.when(file, 0.7).otherwise(0.6)).when(fine, 0.7).otherwise(0.0)
-    return F.struct(verdict.alias("verdict"), F.round(conf, 2).alias("confidence"), bad.alias("detections"), total.alias("total_engines"))
+    return F.struct(verdict.alias("verdict"), F.round(F.round(conf, 10), 2).alias("confidence"), bad.alias("detections"), total.alias("total_engines"))
 
 
 def parsed_scanner(json: Column, kind: Column) -> Column:

@@ -182,7 +182,7 @@ def ioc_normalize(t):
 @query("scanner_answers", "JS-01 SRC-18", """with p as (select event_id, (props->>'k')::int as k, event_id % 2 as odd, event_id % 5 * 10 as harmless, case event_id % 4 when 0 then 'URL' when 1 then 'DOMAIN' when 2 then 'IPV4' else 'FILE_HASH' end as kind from events),
     c as (select *, k + odd + harmless + 4 as total from p)
     select event_id, case when k > 0 then 'MALICIOUS' when odd > 0 then 'SUSPICIOUS' when kind = 'URL' and harmless > 0 then 'BENIGN' else 'UNKNOWN' end as verdict,
-      round(case when k > 0 then case kind when 'FILE_HASH' then least(0.98, 0.6 + k::double / total * 0.4) else least(0.95, 0.5 + k::double / total * 0.5) end when odd > 0 then case kind when 'FILE_HASH' then 0.7 else 0.6 end when kind = 'URL' and harmless > 0 then 0.7 else 0.0 end::double, 2) as confidence,
+      round((case when k > 0 then case kind when 'FILE_HASH' then least(0.98, 0.6 + k::double / total * 0.4) else least(0.95, 0.5 + k::double / total * 0.5) end when odd > 0 then case kind when 'FILE_HASH' then 0.7 else 0.6 end when kind = 'URL' and harmless > 0 then 0.7 else 0.0 end)::double::decimal(18, 10), 2)::double as confidence,
       case kind when 'URL' then 'phishing,spam' when 'DOMAIN' then 'malware' else '' end as categories, k as detections, total::int as total_engines from c""")
 def scanner_answers(t):
     e, n = t("events"), F.col("event_id")
