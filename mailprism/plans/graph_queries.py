@@ -21,7 +21,7 @@ def shared_emails(t):
     return graph.emails_of(links, graph.shared_infrastructure(links, "l_orderkey", ["l_partkey", "l_returnflag"], 18), ["l_partkey", "l_returnflag"])
 
 
-@query("two_hop_counts", "JN-02 JN-03 JN-04 JN-16 JN-17", """
+@query("two_hop_counts", "JN-02 JN-03 JN-04 JN-16", """
     select n_name, count(distinct o_orderkey) as emails, count(distinct l_partkey) as files from lineitem join orders on l_orderkey = o_orderkey
     join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1""")
 def two_hop_counts(t):
@@ -81,7 +81,7 @@ CAMPAIGN = """l as (select distinct user_id, event_type, date_trunc('hour', ts)
     p as (select x.user_id as a, y.user_id as b, count(*) as shared from l x join l y on x.event_type = y.event_type and x.hour = y.hour and x.user_id < y.user_id group by 1, 2 having count(*) >= 5)"""
 
 
-@query("campaign_star", "GR-16 GR-07", f"""
+@query("campaign_star", "GR-16", f"""
     with {CAMPAIGN}, b as (select a, b from p union all select b, a from p) select a as seed, count(distinct b) + 1 as emails from b group by 1 having count(distinct b) + 1 >= 3""")
 def campaign_star(t):
     return graph.campaign_stars(graph.campaign_pairs(_campaign_links(t), "user_id", ["event_type", "hour"], 5), 3)

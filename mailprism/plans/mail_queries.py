@@ -134,7 +134,7 @@ def tvd_disagreement(t):
     return d.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("tvd"), 6).alias("mean_tvd"), F.bool_and(scoring.disagreement(F.col("a"), F.col("b")) == "AGREEMENT").alias("agree"))
 
 
-@query("fusion_strategies", "AG-61 AG-59 UD-05", f"""with {FUSE}, u as (select 'forensic_only' as strategy, p_legit a, p_spam b, p_phish c from g union all select 'semantic_only', q_legit, q_spam, q_phish from g
+@query("fusion_strategies", "AG-61 UD-05", f"""with {FUSE}, u as (select 'forensic_only' as strategy, p_legit a, p_spam b, p_phish c from g union all select 'semantic_only', q_legit, q_spam, q_phish from g
     union all select 'equal_average', (p_legit + q_legit) / 2, (p_spam + q_spam) / 2, (p_phish + q_phish) / 2 from g union all select 'fixed_weighted', 0.55 * p_legit + 0.45 * q_legit, 0.55 * p_spam + 0.45 * q_spam, 0.55 * p_phish + 0.45 * q_phish from g
     union all select 'smooth_evidence_weighted', fl, fs, fp from g) select strategy, count(*) as n, round(avg(c), 5) as mean_phishing, round(avg(greatest(a, b, c)), 5) as mean_confidence from u group by 1""")
 def fusion_strategies(t):
@@ -145,7 +145,7 @@ def fusion_strategies(t):
     return rows.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c"), 5).alias("mean_phishing"), F.round(F.avg("m"), 5).alias("mean_confidence"))
 
 
-@query("escalations", "CO-11 MA-03 WN-17", f"""with {FUSE}, e as (select doc_id, {ARG('p')} as a, {ARG('q')} as b, p_phish, q_phish, greatest(fl, fs, fp) as m, quality from g) select doc_id, (m < 0.6 or (a <> b and quality between 0.2 and 0.45)
+@query("escalations", "CO-11 MA-03", f"""with {FUSE}, e as (select doc_id, {ARG('p')} as a, {ARG('q')} as b, p_phish, q_phish, greatest(fl, fs, fp) as m, quality from g) select doc_id, (m < 0.6 or (a <> b and quality between 0.2 and 0.45)
     or (a = 'phishing' and p_phish >= 0.7 and b = 'legitimate') or (b = 'phishing' and q_phish >= 0.7 and a = 'legitimate')) as escalated from e""")
 def escalations(t):
     f = [F.col("f0"), F.col("f1"), F.col("f2")]
@@ -283,7 +283,7 @@ def ml_tfidf_lr(t):
     return ml.out_of_fold(settled(d), "label", fold, 5, fit)
 
 
-@query("ml_features_lr", "ML-02 ML-04 ML-09")
+@query("ml_features_lr", "ML-02 ML-09")
 def ml_features_lr(t):
     d = t("documents").join(t("labels"), "doc_id").withColumn("body_text", F.col("text"))
     f = settled(features.extract(d, ["doc_id", "quality"]))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailprism.functions import net, text
-from mailprism.operators import corpus, correlation, features, forensics, fusion, graph, intel, metrics, ml, scoring
+from mailprism.operators import corpus, correlation, diagnostics, features, forensics, fusion, graph, intel, metrics, ml, scoring
 from mailprism.plans.mail_queries import RAW
 from mailprism.plans.registry import settled
 from mailprism.sources import mime, tables
@@ -403,3 +403,23 @@ def test_scan_names_what_it_leaves_out(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x" * size)
     assert [r.path.rsplit("/", 1)[1] for r in mime.scan(spark, str(tmp_path), 100).collect()] == ["a.eml"]
     assert [(r.path.rsplit("/", 1)[1], r["size"], r.reason) for r in mime.rejects(spark, str(tmp_path), 100).collect()] == [("b.eml", 2000, "too large")]
+
+
+def test_diagnostics(spark):
+    names = ["auth_a", "auth_b", "url_a", "cnt_a", "msg_a"]
+    got = diagnostics.subsets(names, {"auth_a": 0.3}, {"msg_a": 2.0, "url_a": 2.0, "cnt_a": 3.0})
+    assert got == {"all": names, "low_drift": names[1:], "top_20": ["cnt_a", "msg_a", "url_a"]}
+    rows = spark.createDataFrame([(float(i % 10), float(i), i % 2) for i in range(100)], "a double, b double, k int")
+    one_by_one = {c: metrics.psi(rows.filter("k = 0"), rows.filter("k = 1"), c).first()[0] for c in "ab"}
+    assert {r.feature: r.psi for r in diagnostics.psi_of_all(rows.filter("k = 0"), rows.filter("k = 1"), ["a", "b"]).collect()} == pytest.approx(one_by_one, abs=1e-6)
+    y = spark.createDataFrame([(0,), (1,), (2,), (2,)], "y int")
+    assert [r.y for r in diagnostics.phishing_or_legitimate(y, "y").collect()] == [0, 1, 1]
+    assert [r.t for r in y.select(diagnostics.threat(F.col("y")).alias("t")).collect()] == [0, 1, 1, 1]
+    # A model that says 2 always: on the test half the rows are 2, on the holdout all.
+    fit = lambda rows, columns, y: lambda df: df.withColumn("pred", F.lit(2))
+    g = diagnostics.generalization(y, y, y.filter("y = 2"), {"all": ["x"]}, fit).first()
+    assert (g.test_accuracy, g.holdout_accuracy, g.test_phishing_f1, g.gap_f1) == (0.5, 1.0, 0.666667, round(0.666667 / 3 - 1 / 3, 4))
+    s = spark.createDataFrame([(i / 100, int(i > 50)) for i in range(100)], "score double, y int")
+    c = {r.method: r for r in diagnostics.calibrations(s, s, "score", "y").collect()}
+    assert c["uncalibrated"].brier == pytest.approx(sum(2 * (i / 100 - (i > 50)) ** 2 for i in range(100)) / 100, abs=1e-6)
+    assert c["isotonic"].brier == 0.0 and sum(r.chosen for r in c.values()) == 1
