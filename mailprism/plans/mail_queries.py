@@ -257,12 +257,22 @@ def session_counts(t):
     return state.sessions(t("events"), "ts", "user_id")
 
 
-@query("circuit_breaker", "SM-03")
+@query("circuit_breaker", "SM-03", """with recursive e as (select event_type, epoch_us(ts) / 1e6 as at_, event_id % 3 <> 0 as ok, row_number() over (partition by event_type order by ts, event_id % 3 <> 0) as k from events),
+    r(event_type, k, state, failures, successes, opened, rejected) as (select distinct event_type, 0::bigint, 'closed', 0, 0, 0.0::double, 0 from events union all
+      select event_type, k, case when rej then state when ok then case when half and successes < 1 then 'half_open' else 'closed' end when half or failures >= 2 then 'open' else state end,
+        case when rej then failures when ok or half or failures >= 2 then 0 else failures + 1 end, case when rej then successes when ok and half and successes < 1 then successes + 1 else 0 end,
+        case when not rej and not ok and (half or failures >= 2) then at_ else opened end, rejected + rej::int
+      from (select e.*, r.* exclude (event_type, k), state = 'open' and at_ - opened < 3600 as rej, state <> 'closed' as half from r join e on e.event_type = r.event_type and e.k = r.k + 1))
+    select event_type, state, failures, successes, opened, rejected from r qualify k = max(k) over (partition by event_type)""")
 def circuit_breaker(t):
     return state.breaker_states(t("events"), "event_type", "ts", F.col("event_id") % 3 != 0, most_failures=3, wait=3600.0)
 
 
-@query("token_bucket", "SM-04")
+@query("token_bucket", "SM-04", """with recursive e as (select user_id, epoch_us(ts) / 1e6 as at_, row_number() over (partition by user_id order by ts) as k from events),
+    r(user_id, k, last, tokens, allowed, denied) as (select user_id, k, at_, 2.0::double, 1, 0 from e where k = 1 union all
+      select user_id, k, at_, case when h >= 1 then h - 1 else h end, allowed + (h >= 1)::int, denied + (h < 1)::int
+      from (select e.user_id, e.k, at_, least(3.0, tokens + (at_ - last) * (1::double / 20000)) as h, allowed, denied from r join e on e.user_id = r.user_id and e.k = r.k + 1))
+    select user_id, allowed, denied, round(tokens, 6) as tokens from r qualify k = max(k) over (partition by user_id)""")
 def token_bucket(t):
     return state.token_bucket(t("events"), "user_id", "ts", 3.0, 1 / 20000)
 
