@@ -303,8 +303,9 @@ def ml_features_lr(t):
     return ml.probability_of(model.transform(rows), 1, "p").select("doc_id", "label", "prediction", F.round("p", 6).alias("p"))
 
 
-@query("temperature", "ML-05 MA-07")
+@query("temperature", "ML-05 MA-07", f"""with {RISK}, l as (select doc_id % 3 as y, ln(greatest(p_legit, 1e-6)) as a, ln(greatest(p_spam, 1e-6)) as b, ln(greatest(p_phish, 1e-6)) as c from t), g as (select 0.5::double + 0.05::double * unnest(range(71)) as t),
+    n as (select g.t, avg(ln(exp(a / g.t) + exp(b / g.t) + exp(c / g.t)) - case y when 0 then a when 1 then b else c end / g.t) as nll from l, g group by 1) select arg_min(t, nll) as temperature from n""")
 def temperature(t):
     r = _risk(t).select((F.col("doc_id") % 3).alias("y"), *[F.log(F.greatest(c, F.lit(1e-6))).alias(f"l{i}") for i, c in enumerate(P())])
     best = ml.temperature(r, ["l0", "l1", "l2"], F.col("y"))
-    return t("region").limit(1).select(F.lit(best).alias("temperature"))
+    return r.sparkSession.range(1).select(F.lit(best).alias("temperature"))

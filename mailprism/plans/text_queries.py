@@ -160,7 +160,7 @@ def content_structure(t):
     )
 
 
-@query("repeated_chars", "ST-14")
+@query("repeated_chars", "ST-14", """select doc_id, coalesce(list_bool_or(list_transform(list_distinct(string_split(text, '')), lambda c: contains(text, repeat(c, 4)) and c not in (chr(10), chr(13), chr(133), chr(8232), chr(8233)))), false) as repeated from documents""")
 def repeated_chars(t):
     return t("documents").select("doc_id", text.repeated_character(F.col("text")).alias("repeated"))
 
