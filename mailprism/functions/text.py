@@ -188,6 +188,12 @@ def domain_entropy(c: Column) -> Column:
     return entropy(F.lower(F.translate(text_or_empty(c), ".-", "")))
 
 
+def iso(ts: Column) -> Column:
+    """ISO 8601 without offset: seconds, and microseconds where there are any. Instants are given in the session's zone."""
+    micros = F.date_format(ts, "SSSSSS")
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)))
+
+
 def escaped(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(a), F.lit(b))

@@ -38,7 +38,7 @@ def _timeline(t):
     return graph.ioc_timeline(e, ["event_type", "ioc"], "user_id", "ts")
 
 
-@query("ioc_timeline", "GR-12 DT-03 DT-02 SM-01 GR-01", TIMELINE)
+@query("ioc_timeline", "GR-12 DT-03 SM-01 GR-01", TIMELINE)
 def ioc_timeline(t):
     return _timeline(t)
 
@@ -131,7 +131,7 @@ def bfs_levels(t):
     with recursive l0 as ({LINKS}), l1 as (select source, target from l0 union select target, source from l0), l as (select source, target from (select *, row_number() over (partition by source order by target) as k from l1) where k <= 10),
     r(node, level) as (select 'r0', 0 union select l.target, level + 1 from r join l on r.node = l.source where level < 3) select node, min(level)::int as level from r group by 1""")
 def bfs_fan_out(t):
-    start = t("region").limit(1).select(F.lit("r0").alias("node"))
+    start = t("region").sparkSession.range(1).select(F.lit("r0").alias("node"))
     return graph.bfs_levels(_links(t), start, 3, settled, fan_out=10, directed=False)
 
 

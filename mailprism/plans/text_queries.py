@@ -188,3 +188,10 @@ def attachment_flags(t):
         when 3 then 'run.js' when 4 then 'noext' else 'a.zip.scr' end as fn""", """case p_partkey % 4 when 0 then 'application/x-msdownload'
         when 1 then 'Application/JavaScript; x=1' else 'application/pdf' end as ct""", "p_size * 400000L as size")
     return f.select("k", net.attachment_analysis(F.col("fn"), F.col("ct"), F.col("size")).alias("a")).select("k", "a.*")
+
+
+@query("iso_times", "DT-02", """select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(ts) % 1000000 = 0 then '' else strftime(ts, '.%f') end as at_iso, strftime(ts + to_microseconds(event_id % 2 * 40), '%Y-%m-%dT%H:%M:%S')
+    || case when epoch_us(ts + to_microseconds(event_id % 2 * 40)) % 1000000 = 0 then '' else strftime(ts + to_microseconds(event_id % 2 * 40), '.%f') end as later_iso from events""")
+def iso_times(t):
+    later = F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 2 * 40 / 1_000_000).cast("decimal(18,6)"))
+    return t("events").select("event_id", text.iso(F.col("ts")).alias("at_iso"), text.iso(later).alias("later_iso"))
