@@ -130,6 +130,19 @@ def idna(s: pd.Series) -> pd.Series:
     return s.map(one, na_action="ignore")
 
 
+def canonical_url(u: Column) -> Column:
+    """(url, host) of a web address: scheme and host in lower case, the host in ASCII form without a last dot, no user, the
+    port unless 0, the rest as it is; null for anything else. Only hosts that are not ASCII go to Python."""
+    form = r"(?is)^(https?)://(?:[^/?#]*@)?([^/?#:@\[\]]+|\[[0-9a-f:.]+\])(?::([0-9]{0,9}))?([/?#].*)?$"
+    t = F.trim(u)
+    part = lambda i: F.regexp_extract(t, form, i)
+    host, port = F.rtrim(F.lower(part(2)), F.lit(".")), F.regexp_extract(t, form, 3).try_cast("int")
+    host = F.coalesce(idna(F.when(~host.rlike(r"^[\x00-\x7f]*$"), host)), host)
+    url = F.concat(F.lower(part(1)), F.lit("://"), host, F.when(port > 0, F.concat(F.lit(":"), port.cast("string"))).otherwise(""), part(4))
+    ok = t.rlike(form) & (host != "") & F.coalesce(port <= 65535, F.lit(True))
+    return F.when(ok, F.struct(url.alias("url"), host.alias("host")))
+
+
 def latin(d: Column) -> Column:
     return F.translate(d, *HOMOGLYPHS)
 

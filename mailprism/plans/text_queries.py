@@ -195,3 +195,15 @@ def attachment_flags(t):
 def iso_times(t):
     later = F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 2 * 40 / 1_000_000).cast("decimal(18,6)"))
     return t("events").select("event_id", text.iso(F.col("ts")).alias("at_iso"), text.iso(later).alias("later_iso"))
+
+
+@query("canonical_urls", "UR-02 ST-18 CO-13", r"""
+    with p as (select page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) as host, regexp_replace(url, '^[A-Za-z]+://[^/?#]*', '') as rest from pages),
+    h as (select *, case page_id % 3 when 0 then 'xn--bcher-kva.' when 1 then 'xn--mnchen-3ya.' else 'www.' end || host as whole from p where host <> '' and not contains(host, ':') and not contains(host, '@'))
+    select page_id, case when page_id % 11 > 0 then 'http://' || whole || case when page_id % 2 = 0 then ':8080' else '' end || rest end as canonical, case when page_id % 11 > 0 then whole end as host from h""")
+def canonical_urls(t):
+    host, rest = F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1), F.regexp_replace("url", "^[A-Za-z]+://[^/?#]*", "")
+    k = F.col("page_id")
+    odd = F.concat(F.when(k % 11 == 0, "ftp").otherwise("HTTP"), F.lit("://User:x@"), F.when(k % 3 == 0, "BÜCHER.").when(k % 3 == 1, "münchen.").otherwise("WWW."), F.upper(host), F.when(k % 2 == 0, ":08080").otherwise(":0"), rest)
+    p = t("pages").filter((host != "") & ~host.contains(":") & ~host.contains("@"))
+    return p.select(k, net.canonical_url(odd).alias("u")).select("page_id", F.col("u.url").alias("canonical"), "u.host")

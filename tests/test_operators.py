@@ -276,6 +276,13 @@ def test_graph_loops(spark):
     assert s.s == pytest.approx(0.4 / 1.4)
 
 
+def test_canonical_urls(spark):
+    given = {" HTTP://a:b@Ex.COM.:80/P?q#F ": ("http://ex.com:80/P?q#F", "ex.com"), "https://bücher.de": ("https://xn--bcher-kva.de", "xn--bcher-kva.de"), "http://x:0": ("http://x", "x"), "http://[::1]:5/a": ("http://[::1]:5/a", "[::1]"),
+             "http://a/\n@b": ("http://a/\n@b", "a"), "ftp://a": None, "http://": None, "http://a:99999": None, "": None, "http://./": None}
+    got = {r.v: r.u and tuple(r.u) for r in spark.createDataFrame([(v,) for v in given], "v string").select("v", net.canonical_url(F.col("v")).alias("u")).collect()}
+    assert got == given
+
+
 def test_ipv6_is_compressed(spark):
     given = ["2001:0db8:0:0:0:0:0:1", "::", "::1", "1::", "0:0:0:0:0:0:0:0", "1:0:0:2:0:0:3:4", "1:0:2:0:0:0:3:4", "1:0:2:3:4:5:6:7", "FE80::A0:0", "::ffff:1.2.3.4", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "10:0:0:10:100:0:0:0", "a0:0:0:0b:1:1:1:0"]
     bad = ["1::2::3", "1:2:3", "12345::", ":1", "1:", ":::", "g::", "1:2:3:4:5:6:7:8:9", "::1.2.3", "::1.2.3.300", "1:2:3:4:5:6:7:8::", "", "fe80::1%eth0", "1:2:3:4::5:6:7:8"]
