@@ -92,8 +92,7 @@ def campaign_star(t):
     r(node, seen) as (select distinct a, a from b union select r.node, b.b from r join b on r.seen = b.a)
     select node, min(seen) as component from r group by 1""")
 def campaign_component(t):
-    pairs = graph.campaign_pairs(_campaign_links(t), "user_id", ["event_type", "hour"], 5)
-    return graph.components(pairs, settled)
+    return graph.campaign_components(_campaign_links(t), "user_id", ["event_type", "hour"], 5, settled)
 
 
 @query("campaign_scores", "GR-16 AG-52 AG-53 SL-03 CO-08", """

@@ -448,3 +448,18 @@ def test_similar_emails_by_groups(spark):
     got = graph.similar_emails(m, "by", seen, most_ids=8)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 3_500
     assert lists[0].count() < 123 and lists[0].filter("by = 0 and domain = 1 and size(ids) > 1").count() > 0  # groups are scored, not emails
+
+
+@pytest.mark.parametrize("most_links", [40, 1 << 20])
+def test_campaigns_without_pairs(spark, most_links):
+    rows = [(i, "abc"[k % 3], k * 7 % (11 + i)) for i in range(60) for k in range(i % 9 + 2)] + [(100 + i, "a", k) for i in range(5) for k in range(40, 45)]
+    rows += [(7, "a", None), (8, None, 3), (9, None, 3), (None, "a", 0), (None, "b", 1), (200, "q", 1), (201, "r", 1)]
+    links = spark.createDataFrame(rows + rows[::5], "email long, kind string, v long")
+    pairs = settled(graph.campaign_pairs(links.filter("email is not null"), "email", ["kind", "v"], 4))
+    seeds = graph.campaign_seeds(links, "email", ["kind", "v"], 4, 3, settled)
+    assert sorted(seeds.collect()) == sorted(graph.campaign_stars(pairs, 3).collect()) and seeds.count() > 15
+    found = graph.campaign_components(links, "email", ["kind", "v"], 4, settled, most_links)
+    assert sorted(found.collect()) == sorted(graph.components(pairs, settled).collect())
+    cells = graph.campaign_seeds(links, "email", ["kind", "v"], 4, 2, settled, most_links)
+    assert sorted(cells.collect()) == sorted(graph.campaign_stars(pairs, 2).collect())
+    assert graph.campaign_seeds(links.limit(0), "email", ["kind", "v"], 4, 3, settled).count() == 0 == graph.campaign_components(links.limit(0), "email", ["kind", "v"], 4, settled).count()
