@@ -84,7 +84,7 @@ CAMPAIGN = """l as (select distinct user_id, event_type, date_trunc('hour', ts)
 @query("campaign_star", "GR-16", f"""
     with {CAMPAIGN}, b as (select a, b from p union all select b, a from p) select a as seed, count(distinct b) + 1 as emails from b group by 1 having count(distinct b) + 1 >= 3""")
 def campaign_star(t):
-    return graph.campaign_stars(graph.campaign_pairs(_campaign_links(t), "user_id", ["event_type", "hour"], 5), 3)
+    return graph.campaign_seeds(_campaign_links(t), "user_id", ["event_type", "hour"], 5, 3, settled)
 
 
 @query("campaign_component", "GR-16", f"""
