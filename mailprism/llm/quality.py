@@ -3,9 +3,9 @@
 Word uni- and bigrams are hashed into `buckets`. Two multinomials are counted: one over every document (raw), one over
 the trusted documents (target). A document's score is the mean over its n-grams of log(target / raw), so that it does
 not depend on length; a document is kept if no base rule fails and its score reaches one threshold, the same for all.
-The threshold comes from the trusted documents: `slack` times a low quantile of their scores. The slack is for documents
-outside the sample, which score lower, for their own n-grams are not among the target's; with few trusted rows scores
-scatter more, and the threshold follows.
+The target and the threshold come from every trusted document: the threshold is `slack` times a low quantile of their
+scores. The slack is for documents without label, which score lower, for their own n-grams are not among the target's;
+with few trusted rows scores scatter more, and the threshold follows.
 
 With 2 ** 14 buckets the bigrams of a large corpus share them: of 10 million distinct ones some 600 meet in a bucket. A
 bucket's ratio is then that of its frequent n-grams; scores stay means over a whole text.
@@ -21,11 +21,13 @@ distribution itself, all ratios are 0 and only the base rules reject.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WORD_SEPARATORS, settled
+from .common import BROADCAST_IDS, WORD_SEPARATORS, drop_settled, settled
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,6 @@ class QualityRules:
     prior: float = 4.0  # pseudo-counts a bucket, dealt out as the raw distribution
     quantile: float = 0.001  # of the trusted scores
     slack: float = 2.0  # times that quantile is the threshold, a mean log ratio in nats
-    trusted_rows: int = 20_000  # bound of the labelled sample that defines the target
     min_words: int = 50
     max_repeat_percent: int = 50
 
@@ -64,18 +65,30 @@ def _gram_counts(docs: DataFrame, rules: QualityRules, name: str) -> DataFrame:
     return grams.groupBy(F.pmod("h", F.lit(rules.buckets)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias(name))
 
 
-def trusted_ids(labels: DataFrame, rules: QualityRules) -> DataFrame:
-    """doc_id of the trusted sample: quality 1 and not toxic, at most `trusted_rows` of them, chosen by hash."""
-    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.trusted_rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of all trusted documents: quality 1 and not toxic."""
+    return labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
+
+
+def _of_trusted(docs: DataFrame, labels: DataFrame, of: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """of() over the texts of all trusted documents. Their ids are sent to the executors, BROADCAST_IDS at a time, and the
+    table is read once for each such set, so that texts are not shuffled however many there are."""
+    ids = settled(trusted_ids(labels), "quality-trusted")
+    sets = max(1, -(-ids.count() // BROADCAST_IDS))
+    found = []
+    for i in range(sets):
+        some = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(sets)) == i)
+        found.append(settled(of(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left_semi")), name))
+    drop_settled(ids)
+    return reduce(DataFrame.unionByName, found)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """One row, one column `ratio`: the array of log ratios by bucket. Raw counts cover every document."""
-    trusted = docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels, rules)), "doc_id", "left_semi")
+    """One row, one column `ratio`: the array of log ratios by bucket. Counts cover every document and every trusted one."""
     every = docs.sparkSession.range(rules.buckets).select(F.col("id").cast("int").alias("b"))
     counts = every.join(_gram_counts(docs.select("text"), rules, "r"), "b", "left")
-    counts = settled(counts.join(_gram_counts(trusted, rules, "t"), "b", "left").na.fill(0), "quality-counts")
+    trusted = _of_trusted(docs, labels, lambda d: _gram_counts(d, rules, "t"), "quality-target")
+    counts = settled(counts.join(trusted.groupBy("b").agg(F.sum("t").alias("t")), "b", "left").na.fill(0), "quality-counts")
     total = counts.agg((F.sum("r") + rules.buckets).alias("rr"), F.sum("t").alias("tt")).first()
     prior = rules.prior * rules.buckets
     raw = (F.col("r") + 1) / F.lit(float(total["rr"]))
@@ -86,13 +99,37 @@ def fit(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()
 
 
 def threshold(docs: DataFrame, labels: DataFrame, ratio: DataFrame, rules: QualityRules = QualityRules()) -> float:
-    """The least score that is kept, from the scores of the trusted documents of at least min_words; below 0."""
-    trusted = docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels, rules)), "doc_id", "left_semi")
-    scored = with_hashes(trusted).filter(F.size("_mp_w1") >= rules.min_words).withColumn("_mp_ratio", ratio.scalar())
-    found = scored.agg(F.percentile(_score(F.col("_mp_ratio"), rules), F.lit(rules.quantile))).first()[0]
+    """The least score that is kept, from the scores of all trusted documents of at least min_words; below 0."""
+
+    def scores(d: DataFrame) -> DataFrame:
+        long_ones = with_hashes(d).filter(F.size("_mp_w1") >= rules.min_words).withColumn("_mp_ratio", ratio.scalar())
+        return long_ones.select(_score(F.col("_mp_ratio"), rules).alias("x"))
+
+    found = exact_quantile(_of_trusted(docs, labels, scores, "quality-scores"), rules.quantile)
     return min(-1e-3, rules.slack * (found or 0.0))
 
 
+def exact_quantile(values: DataFrame, p: float, width: float = 1e-4) -> float | None:
+    """The p-quantile of column x by linear interpolation; None without values. Exact: bins only say where the two ranks
+    lie, and the values of those bins are counted; no task or driver holds more than bins or the different values of two."""
+    bins = F.floor(F.col("x") / width).alias("bin")
+    below, sums = 0, []
+    for r in values.groupBy(bins).agg(F.count(F.lit(1)).alias("n")).orderBy("bin").collect():
+        sums.append((r["bin"], below, below + r["n"]))
+        below += r["n"]
+    if not below:
+        return None
+    place = p * (below - 1)
+    first, last = int(place), min(int(place) + 1, below - 1)
+    at = [(b, lo) for b, lo, hi in sums if lo <= last and hi > first]
+    among = values.filter(bins.between(at[0][0], at[-1][0])).groupBy("x").agg(F.count(F.lit(1)).alias("n")).orderBy("x")
+    before, found = at[0][1], []
+    for r in among.collect():
+        found += [r["x"] for k in (first, last) if before <= k < before + r["n"]]
+        before += r["n"]
+    return found[0] + (found[-1] - found[0]) * (place - first)
+
+
 def _score(ratio: Column, rules: QualityRules) -> Column:
     grams = F.concat("_mp_w1", "_mp_w2")
     total = F.aggregate(

@@ -105,6 +105,29 @@ def test_quality_score_brute(spark, odd):
         assert r.score == pytest.approx(want, abs=1e-9), Row(r)
 
 
+def test_quality_counts_every_trusted_document(spark, monkeypatch):
+    """More trusted rows than the 20,000 of an earlier bound, and more than one set of ids."""
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("one two"), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    rules = quality.QualityRules(buckets=64)
+    hashes = quality.with_hashes(docs).select(F.explode(F.concat("_mp_w1", "_mp_w2")).alias("h")).selectExpr("pmod(h, 64) as b")
+    n = np.array([r["count"] for r in hashes.groupBy("b").count().orderBy("b").collect()])
+    raw = (n + 1) / (n.sum() + 64)
+    want = np.log((n + 256 * raw) / (n.sum() + 256) / raw)  # all are trusted
+    for most in (1_000_000, 7_000):
+        monkeypatch.setattr(quality, "BROADCAST_IDS", most)
+        assert quality.fit(docs, labels, rules).first()["ratio"] == pytest.approx(want.tolist(), abs=1e-12)
+    assert quality.trusted_ids(labels).count() == 20_500
+
+
+def test_exact_quantile(spark):
+    values = np.random.default_rng(5).normal(0, 1e-3, 3_000).tolist() + [0.25] * 400 + [-0.5] * 3
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for p in (0.0, 0.001, 0.3, 0.9, 1.0):
+        assert quality.exact_quantile(df, p) == pytest.approx(np.quantile(values, p), abs=1e-15)
+    assert quality.exact_quantile(df.limit(0), 0.5) is None and quality.exact_quantile(df.limit(1), 0.5) == values[0]
+
+
 def test_quality_empty(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judge(none, labels).count() == 0
