@@ -2,8 +2,9 @@
 
 Each language has a probability for every piece of the vocabulary. The probability of a word is the sum over all ways
 to cut it into pieces, which a forward pass over its letters takes in one go; the score of a text is the sum over its
-words. Piece probabilities are fitted by expectation maximisation on the words of a bounded labelled sample, with the
-forward-backward counts of all segmentations; the vocabulary itself is never trained.
+words. Piece probabilities are fitted by expectation maximisation on the words of labelled documents, with the
+forward-backward counts of all segmentations; the vocabulary itself is never trained. `fit` takes a bounded sample of them,
+`fit_all` every one.
 
 A word is a run of letters, lower-cased, with the vocabulary's word mark before it. Pieces of one letter that the
 vocabulary lacks share one probability. No piece of lower-case letters and no word is left out, however long. `score` is
@@ -12,7 +13,7 @@ priors, so that it does not saturate with length.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0. Without any labelled row every text is `und`.
 Of languages that tie the first by name is predicted. A text is scored whole; 8 MB of texts, or one longer text, at once.
-Repeated rows are judged one by one. Languages are the non-null values of lang in the sample. lang, source and doc_id
+Repeated rows are judged one by one. Languages are the non-null values of lang in the labelled rows used. lang, source and doc_id
 are no inputs of a prediction. Extra columns pass through `identify`; one with the name of a result gives way to it.
 """
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .columns import coded_words, few_mb, worker_cache
-from .common import BROADCAST_IDS, compact
+from .common import BROADCAST_IDS, compact, drop_settled, settled
 
 MARK = "▁"
 RUN = re.compile(r"[^\W\d_]+")
@@ -40,8 +41,8 @@ RUN = re.compile(r"[^\W\d_]+")
 class LanguageModel:
     """Production parameters of the fit."""
 
-    rows: int = 300  # labelled documents a language at most
-    words: int = 200_000  # distinct words a language that the fit takes from them at most, the most frequent ones
+    rows: int = 300  # labelled documents a language at most; `fit_all` has no such bound
+    words: int = 200_000  # distinct words a language that `fit` takes from them at most, the most frequent ones
     rounds: int = 3  # of expectation maximisation
     prior: float = 0.01  # pseudo-count of each piece
     evidence: float = 30.0  # letters
@@ -197,6 +198,92 @@ def fit(labelled: DataFrame, vocabulary: str, m: LanguageModel = LanguageModel()
     return languages, pieces, p
 
 
+#: Expected counts are added up as whole numbers of this part, so that their sums depend on no order.
+UNIT = 2.0**-20
+
+
+def counted_words(labelled: DataFrame) -> DataFrame:
+    """(word, languages, counts): each distinct word of the texts whose lang is not null, with how often which language has it."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in few_mb(whole, 4 << 20):
+                seen, codes, bounds = coded_words(batch.column("text"))
+                cut = [runs_of(t) for t in seen]
+                sizes = np.array([len(c) for c in cut], np.int64)
+                words = pa.array([w for c in cut for w in c], pa.string())
+                lang = batch.column("lang").dictionary_encode()
+                of_word = np.repeat(np.asarray(lang.indices, dtype=np.int64), np.diff(bounds))
+                pair, n = np.unique(of_word * len(seen) + codes, return_counts=True)
+                k, code = np.divmod(pair, max(1, len(seen)))
+                r = sizes[code]  # words of each token
+                at = np.arange(r.sum()) + np.repeat((np.cumsum(sizes) - sizes)[code] - (np.cumsum(r) - r), r)
+                made = [lang.dictionary.take(pa.array(np.repeat(k, r))), words.take(pa.array(at)), pa.array(np.repeat(n, r), pa.int64())]
+                yield pa.RecordBatch.from_arrays(made, ["lang", "word", "n"])
+
+    found = labelled.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(rows, "lang string, word string, n long")
+    found = found.groupBy("word", "lang").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("c"))
+    return found.select("word", F.col("c.lang").alias("languages"), F.col("c.n").alias("counts"))
+
+
+def fit_all(labelled: DataFrame, vocabulary: str, m: LanguageModel = LanguageModel()) -> tuple[list[str], list[str], np.ndarray]:
+    """As fit, from every word of every row with a text and a lang, rows that repeat a doc_id too.
+
+    Words are counted and their expectations taken on the executors; the driver gets pieces times languages a round.
+    """
+    counted = settled(counted_words(labelled), "language-words")
+    languages = sorted(r["x"] for r in counted.select(F.explode("languages").alias("x")).distinct().collect())
+    pieces = read_pieces(vocabulary)
+    p = np.full((len(pieces) + 1, len(languages)), 1.0 / (len(pieces) + 1))
+    for _ in range(m.rounds if languages else 0):
+        p = _expected(counted, languages, pieces, p) + m.prior
+        p /= p.sum(0)
+    drop_settled(counted)
+    return languages, pieces, p
+
+
+def _expected(counted: DataFrame, languages: list[str], pieces: list[str], p: np.ndarray) -> np.ndarray:
+    """Expected piece counts [piece, language] of all words of `counted`, summed over its tasks."""
+    shared = counted.sparkSession.sparkContext.broadcast((pieces, p))
+    place, width = {x: i for i, x in enumerate(languages)}, len(languages)
+    most = max(1, (1 << 19) // width)  # words at once: batches have few of each length
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray]]:
+        words, rows, columns, n = [], [], [], []
+        for batch in batches:
+            for word, names, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [len(words)] * len(names)
+                columns += [place[x] for x in names]
+                n += counts
+                words.append(word)
+                if len(words) == most:
+                    yield words, _dense(rows, columns, n, len(words), width)
+                    words, rows, columns, n = [], [], [], []
+        if words:
+            yield words, _dense(rows, columns, n, len(words), width)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, p = shared.value
+        lattice, total = Lattice(pieces), np.zeros_like(p)
+        for words, counts in blocks(batches):
+            total += lattice.expected(words, counts, p)
+        whole = np.rint(total / UNIT).astype(np.int64).ravel()
+        at = np.flatnonzero(whole)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(whole[at], pa.int64())], ["at", "x"])
+
+    found = counted.select("word", "languages", "counts").mapInArrow(sums, "at long, x long").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    out = np.zeros(p.size)
+    out[found["at"].to_numpy(np.int64)] = found["x"].to_numpy(np.float64) * UNIT
+    shared.destroy()
+    return out.reshape(p.shape)
+
+
+def _dense(rows: list[int], columns: list[int], n: list[int], height: int, width: int) -> np.ndarray:
+    out = np.zeros((height, width))
+    out[rows, columns] = n
+    return out
+
+
 class Scorer:
     """Log-likelihoods of tokens between white space, kept in two generations of bounded size."""
 

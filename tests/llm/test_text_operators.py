@@ -14,6 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from mailprism.llm import bpe, jaccard, language, quality, tokenfile
 from mailprism.llm.queries import QUERIES
 
@@ -356,6 +357,35 @@ def test_language_edges(spark, odd, none):
     assert language.runs_of("1½²") == [] and language.runs_of("Ab1cd") == ["▁ab", "▁cd"]
 
 
+def test_language_fit_all_counts_every_word(spark, odd):
+    """Probabilities from all words of all labelled rows, also beyond the bounds of fit."""
+    rows = [(i, f"wort{'abc'[i % 3]} Ä{'x' * (i % 40)}Σ a1b's {i}", ["de", "en", None][i % 3]) for i in range(1000)] + [(None, "null id", "en"), (1, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    for some in (docs, odd):
+        counts, lattice = defaultdict(Counter), language.Lattice(language.read_pieces(P.path("piece_bpe_32k.model")))
+        for r in some.filter("lang is not null").collect():
+            counts[r.lang].update(language.runs_of(r.text or ""))
+        names = sorted({w for c in counts.values() for w in c})
+        n, p = np.array([[counts[x][w] for x in ("de", "en")] for w in names], float), np.full((lattice.unknown + 1, 2), 1 / (lattice.unknown + 1))
+        for _ in range(3):
+            p = lattice.expected(names, n, p) + 0.01
+            p /= p.sum(0)
+        languages, _, got = language.fit_all(some, P.path("piece_bpe_32k.model"))
+        assert languages == ["de", "en"] and np.abs(got / p - 1).max() < 1e-3
+
+
+def test_pipeline_language_learns_from_every_document(spark, sf):
+    """Beyond the 300 documents a language that a sample takes, words that no document of the sample has."""
+    ids = spark.range(3_000).filter(~language.held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(1_050)
+    rows = []
+    for i, r in enumerate(ids.collect()):
+        lang, late = ["de", "en", "fr"][i % 3], i >= 990
+        rows.append((r.id, "z z z z z z" if late else {"de": "b b b", "en": "c c c", "fr": "d d d"}[lang], "en" if late else lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert corpus_pipeline.language_id(spark, docs, sf).count() == 1_050
+    assert corpus_pipeline.language_id(spark, docs.limit(0), sf).count() == 0
+
+
 # ---- token files
 
 
