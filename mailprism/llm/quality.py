@@ -98,14 +98,18 @@ def fit(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()
     return counts.agg(F.transform(pairs, lambda p: p["x"]).alias("ratio"))
 
 
-def threshold(docs: DataFrame, labels: DataFrame, ratio: DataFrame, rules: QualityRules = QualityRules()) -> float:
-    """The least score that is kept, from the scores of all trusted documents of at least min_words; below 0."""
+def trusted_scores(docs: DataFrame, ratio: DataFrame, rules: QualityRules) -> DataFrame:
+    """x: the scores of docs, null with fewer than min_words. A filter on words would be pushed below the join that picks docs,
+    and the texts of all documents cut into words for each set of ids."""
+    long_one = F.size("_mp_w1") >= rules.min_words
+    scored = with_hashes(docs).withColumn("_mp_ratio", ratio.scalar())
+    return scored.select(F.when(long_one, _score(F.col("_mp_ratio"), rules)).alias("x"))
 
-    def scores(d: DataFrame) -> DataFrame:
-        long_ones = with_hashes(d).filter(F.size("_mp_w1") >= rules.min_words).withColumn("_mp_ratio", ratio.scalar())
-        return long_ones.select(_score(F.col("_mp_ratio"), rules).alias("x"))
 
-    found = exact_quantile(_of_trusted(docs, labels, scores, "quality-scores"), rules.quantile)
+def threshold(docs: DataFrame, labels: DataFrame, ratio: DataFrame, rules: QualityRules = QualityRules()) -> float:
+    """The least score that is kept, from the scores of all trusted documents of at least min_words; below 0."""
+    found = _of_trusted(docs, labels, lambda d: trusted_scores(d, ratio, rules), "quality-scores").filter("x is not null")
+    found = exact_quantile(found, rules.quantile)
     return min(-1e-3, rules.slack * (found or 0.0))
 
 

@@ -130,6 +130,17 @@ def test_pipeline_stage_keeps_by_every_trusted_document(spark, sf, monkeypatch):
     assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == whole and len(whole) > 0
 
 
+def test_quality_cuts_only_trusted_texts_for_the_threshold(spark, sf):
+    """Otherwise each set of ids costs the words of all documents."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    some = docs.select("doc_id", "text").join(F.broadcast(quality.trusted_ids(labels)), "doc_id", "left_semi")
+    ratio = spark.createDataFrame([([0.0] * (1 << 14),)], "ratio array<double>")
+    found = quality.trusted_scores(some, ratio, quality.QualityRules())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan.split("Join LeftSemi")[0] and "split(" not in plan.split("Join LeftSemi")[1]
+    assert sum(r.x is None for r in found.collect()) == sum(len(words(r.text)) < 50 for r in some.collect())
+
+
 def test_exact_quantile(spark):
     values = np.random.default_rng(5).normal(0, 1e-3, 3_000).tolist() + [0.25] * 400 + [-0.5] * 3
     df = spark.createDataFrame([(v,) for v in values], "x double")
